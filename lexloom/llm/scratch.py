@@ -27,8 +27,9 @@ class Scratch:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def cut(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write df as Parquet and return a DataFrame that reads it back."""
+    def cut(self, df: DataFrame, name: str, codec: str = "uncompressed") -> DataFrame:
+        """Write df as Parquet and return a DataFrame that reads it back. Most such tables are names, hashes and counts,
+        which hardly shrink, and no codec means no native buffers."""
         path = self.at(name)
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
