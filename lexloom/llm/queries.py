@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -22,8 +26,20 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_ids import read_token_ids, write_token_ids
+
+    return read_token_ids(write_token_ids(_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE)))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_exact_dedup,)}
+    return {f.__name__: f for f in (op5_exact_dedup, op6_best_fit_packing, op7_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
