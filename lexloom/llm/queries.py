@@ -14,6 +14,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_jaccard import near_groups
+
+    return near_groups(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -59,7 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_exact_dedup, op6_best_fit_packing, op7_token_ids, op10_quality)}
+    return {f.__name__: f for f in (op3_ngram_jaccard, op5_exact_dedup, op6_best_fit_packing, op7_token_ids, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
