@@ -45,6 +45,17 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_ids(write_token_ids(_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE)))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import listed, merged, scan
+
+    found = scan(_documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(merged(F.col("base"), F.col("added"))).alias("spans"),
+    )
+
+
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame):
     """Fitted on at most quality.MAX_ROWS labelled rows of which none is held out, those whose id hashes lowest."""
     from . import quality
@@ -65,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_ngram_jaccard, op5_exact_dedup, op6_best_fit_packing, op7_token_ids, op10_quality)}
+    return {f.__name__: f for f in (op3_ngram_jaccard, op5_exact_dedup, op6_best_fit_packing, op7_token_ids, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
