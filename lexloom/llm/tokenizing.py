@@ -2,7 +2,8 @@
 
 No pre-token of the two tokenizer files crosses from a character that is not white space into a space or line end, so a
 text may be cut before any space or line end that follows such a character; the pieces' ids, joined, are the text's ids.
-New pieces are encoded together, with a token between them that none of them has. Pieces' ids are kept as little-endian
+A new piece that is a run of Latin letters goes to the tokenizer's model as it is; the others
+are encoded together, with a token between them that none of them has. Pieces' ids are kept as little-endian
 unsigned 32-bit bytes in two generations of tables of bounded size that live as long as the worker.
 """
 
@@ -10,19 +11,24 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 _TWO = re.compile(r"\s[ \n]")
 _CUT = re.compile(r"(?<=\S)(?: |(?=\n))")
 _SPACE = re.compile(r"\s")
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: Byte-level tokenizers write each byte as a letter: printable Latin-1 characters as themselves, the others as U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)).difference(_PLAIN)))}
 _OPEN: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Encoder:
     """spaced: white space has ids, and a word's include the space before it (byte-level); else it has none."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 300_000):
+    def __init__(self, path: str, spaced: bool, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -31,7 +37,9 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.mark = "\n" if spaced else " 7 "
         self.mark_id = self._ids(self.mark)[0]
-        self.stops = {c: self._ids(c).tobytes() for c in ".,"}
+        self.mark_bytes = self._ids(self.mark).tobytes()
+        self.model = self.tokenizer.model
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -42,11 +50,31 @@ class Encoder:
     def _cut(self, text: str) -> list[str]:
         """Pieces; those after the first stand for themselves with a space before, or begin with a line end."""
         if not self.spaced:
-            return text.replace("\n", " ").split(" ")
+            # The normaliser lowers all letters; lowering A-Z before it changes nothing but the number of pieces.
+            return text.replace("\n", " ").encode().lower().decode().split(" ")
         return _CUT.split(text) if _TWO.search(text) else text.replace("\n", " \n").split(" ")
 
+    def _word(self, word: str, spaced: bool) -> bytes:
+        """The ids of a lone run of letters below U+0250: one pre-token, so the model sees it whole."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(f"\u0120{word}" if spaced else word)]).tobytes()
+
     def _learn(self, new: list[str]) -> None:
-        known, mark = self.known, self.mark
+        known, mark, more = self.known, self.mark, []
+        for p in new:
+            if p.isalpha() and (p.isascii() or max(p) < "\u0250"):
+                if self.spaced:
+                    known[p] = self._word(p, True)
+                    continue
+                if p.isascii() or (low := p.lower()).isalpha():
+                    known[p] = self._word(p.lower() if p.isascii() else low, False)
+                    continue
+            elif self.spaced and p[:1] == "\n" and (body := p[1:]).isalpha() and (body.isascii() or max(body) < "\u0250"):
+                known[p] = self.mark_bytes + self._word(body, False)
+                continue
+            more.append(p)
+        new = more
         if self.spaced:
             lone = [p for p in new if p in ("", "\n") or _SPACE.search(p, 1 if p[0] == "\n" else 0)]
         else:
@@ -80,13 +108,23 @@ class Encoder:
         if old:
             known.update({p: old[p] for p in need if p in old})
             need = [p for p in need if p not in old]
-        # A letter run and the stop or comma after it are pre-tokens of their own.
-        ends = [p for p in need if p[-1:] in self.stops and p[-2:-1].isalpha()]
-        bases = {p[:-1] for p in ends}
-        self._learn(list(bases.difference(known).union(p for p in need if p[:-1] not in bases or p[-1:] not in self.stops)))
-        for p in ends:
-            known[p] = known[p[:-1]] + self.stops[p[-1]]
-        return [h + b"".join([known[p] for p in x]) for h, x in zip(heads, cut, strict=True)]
+        # A letter run and the marks after it, up to white space, are pre-tokens of their own.
+        parts = {p: p.rstrip(_MARKS) for p in need if p[-1:] in _MARKS}
+        parts = {p: b for p, b in parts.items() if b[-1:].isalpha()}
+        new = {p for p in need if p not in parts}
+        new.update(b for b in parts.values() if b not in known)
+        self._learn(list(new))
+        for p, b in parts.items():
+            known[p] = known[b] + self._mark_ids(p[len(b) :])
+        get = known.__getitem__
+        return [h + b"".join(map(get, x)) for h, x in zip(heads, cut, strict=True)]
+
+    def _mark_ids(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {}
+            self.marks[marks] = self.plain(marks)
+        return self.marks[marks]
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
