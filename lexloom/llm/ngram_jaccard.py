@@ -7,10 +7,12 @@ only for pairs that some block leaves possible. Any order of columns gives whole
 last come from bounded counts of every task.
 
 A block doesn't multiply out a column with many rows. It pairs each row with the column's hub (the row whose id hashes
-lowest); overlaps of those pairs are summed over all columns, and links join rows into components. Columns whose rows
-have ended in one component are done. For the others another hub is taken, and after some rounds what is left, pairs of
-rows of different components that share a column, is compared in full. So every possible link between different
-components has been looked at in the end, whatever the size of a group of copies.
+lowest); links join rows into components. Columns whose rows have ended in one component are done. For the others
+another hub is taken, and after some rounds what is left, pairs of rows of different components that share a column, is
+taken in full. So every possible link between different components has been looked at in the end, whatever the size of
+a group of copies. For each pair the overlap over the multiplied entries is counted first: the rest of the row that ends
+earlier in the order can add no more than its length, so pairs that stay below the bound go, and whole rows are read
+only for those left.
 """
 
 from __future__ import annotations
@@ -64,24 +66,26 @@ def _common(size: int):
 
 
 class Order:
-    """Places common n-grams after all others, the most common last. Fixed by at most COMMON numbers."""
+    """Numbers n-grams so that common ones come after all others, the most common last. Fixed by at most COMMON numbers."""
 
     def __init__(self, common: np.ndarray):
         by = np.argsort(common)
-        self.common, self.rank = common[by], by
+        self.common, self.rank = common[by], by.astype(np.uint64)
         self.hit = np.zeros(1 << 20, bool)
         self.hit[(common >> np.uint64(44)).astype(np.int64)] = True
 
-    def first(self, grams: np.ndarray, n: int) -> np.ndarray:
-        """The n first of a sorted set."""
+    def place(self, grams: np.ndarray) -> np.ndarray:
+        """The sorted numbers of a sorted set: half the hash, or 2**63 and the rank of a common n-gram."""
+        out = grams >> np.uint64(1)
         maybe = np.flatnonzero(self.hit[(grams >> np.uint64(44)).astype(np.int64)])
         if not len(maybe):
-            return grams[:n]
+            return out
         at = np.minimum(np.searchsorted(self.common, grams[maybe]), len(self.common) - 1)
         real = self.common[at] == grams[maybe]
         maybe, at = maybe[real], at[real]
-        rest = np.delete(grams, maybe)
-        return rest[:n] if len(rest) >= n else np.concatenate([rest, grams[maybe][np.argsort(self.rank[at])][: n - len(rest)]])
+        if not len(maybe):
+            return out
+        return np.concatenate([np.delete(out, maybe), np.sort(self.rank[at]) | np.uint64(1 << 63)])
 
 
 def _name(grams: np.ndarray) -> bytes:
@@ -96,7 +100,7 @@ def _rows(size: int, percent: int, common: np.ndarray):
         for batch in batches:
             for a, sets in _sets(batch.column(0), size):
                 n = [len(v) for v in sets]
-                first = [order.first(v, k - math.ceil(percent * k / 100) + 1).tobytes() if k else b"" for v, k in zip(sets, n)]
+                first = [order.place(v)[: k - -(-percent * k // 100) + 1].tobytes() if k else b"" for v, k in zip(sets, n)]
                 part = batch.slice(a, len(sets))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(1), part.column(2), pa.array([_name(v) for v in sets], pa.binary()), pa.array(n, pa.int64()), pa.array(first, pa.binary())],
@@ -106,24 +110,22 @@ def _rows(size: int, percent: int, common: np.ndarray):
     return run
 
 
-def _scatter(blocks: int, common: np.ndarray):
+def _scatter(blocks: int):
     """Entries of the matrix by block of columns, as bytes of columns and of rows. Those of common columns stand alone."""
-    known = np.sort(common)
     names = ["block", "col", "id", "grams", "rows"]
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        common = np.uint64(1 << 63)
 
         def flush():
             g, r = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            if len(known):
-                at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                often = known[at] == g
-                if often.any():
-                    none = pa.nulls(int(often.sum()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, pa.array(g[often].view(np.int64)), pa.array(r[often]), *[pa.nulls(int(often.sum()), pa.binary())] * 2], names=names)
-                    g, r = g[~often], r[~often]
+            often = g >= common
+            if often.any():
+                none = pa.nulls(int(often.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(g[often].view(np.int64)), pa.array(r[often]), *[pa.nulls(int(often.sum()), pa.binary())] * 2], names=names)
+                g, r = g[~often], r[~often]
             block = (mix(g) % np.uint64(blocks)).astype(np.int64)
             by = np.argsort(block, kind="stable")
             g, r, block = g[by], r[by], block[by]
@@ -149,7 +151,7 @@ def _scatter(blocks: int, common: np.ndarray):
 
 
 def _columns(batches):
-    """Columns with two rows or more, each different list of rows once: (column, row)."""
+    """Entries of columns with two rows or more; lead is set for one of the columns that have the same rows."""
     got = [(g, r) for batch in batches for g, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
     if not got:
         return
@@ -163,12 +165,13 @@ def _columns(batches):
     marks = [np.add.reduceat(mix(r.view(np.uint64) + np.uint64(k)), start) for k in (1, 0x51ED2701)]
     many = np.flatnonzero(size > 1)
     _, one = np.unique(np.stack([m[many] for m in marks], 1), axis=0, return_index=True) if len(many) else (0, many)
-    keep = np.zeros(len(start), bool)
-    keep[many[one]] = True
-    rows = np.repeat(keep, size)
-    for i in range(0, int(rows.sum()), 100_000):
-        at = np.flatnonzero(rows)[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(r[at])], names=["col", "id"])
+    lead = np.zeros(len(start), bool)
+    lead[many[one]] = True
+    lead = np.repeat(lead, size)
+    rows = np.flatnonzero(np.repeat(size > 1, size))
+    for i in range(0, len(rows), 100_000):
+        at = rows[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(r[at]), pa.array(lead[at])], names=["col", "id", "lead"])
 
 
 def _take_sets(size: int):
@@ -212,14 +215,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = s.cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     entries = classes.agg(F.sum(F.octet_length("first") / 8)).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries / ENTRIES_PER_BLOCK))
-    spread = s.cut(classes.select("id", "first").mapInArrow(_scatter(blocks, common), "block long, col long, id long, grams binary, rows binary"), "entries")
-    often = spread.filter("block IS NULL").select("col", "id")
-    cols = spread.filter("block IS NOT NULL").repartition(blocks, "block").select("grams", "rows").mapInArrow(_columns, "col long, id long")
+    spread = s.cut(classes.select("id", "first").mapInArrow(_scatter(blocks), "block long, col long, id long, grams binary, rows binary"), "entries")
+    often = spread.filter("block IS NULL").select("col", "id", F.lit(True).alias("lead"))
+    cols = spread.filter("block IS NOT NULL").repartition(blocks, "block").select("grams", "rows").mapInArrow(_columns, "col long, id long, lead boolean")
     cols = s.cut(cols.unionByName(often), "columns")
     s.drop("entries")
-    members = s.cut(cols.select("id").distinct().join(classes.select("id", "class", "n", "one"), "id"), "members")
-    sets = s.cut(_matrix_rows(d, members, size), "rows")
-    label = _joined(s, cols, members.select("id", "n"), sets, percent)
+    shared = cols.groupBy("id").agg(F.collect_list("col").alias("cols"))  # no more than the first columns of one row
+    shared = s.cut(shared.join(classes.select("id", "class", "n", "one"), "id").withColumn("rest", F.expr(f"CAST(({percent} * n + 99) DIV 100 AS BIGINT) - 1")), "shared")
+    label = _joined(s, d, cols.filter("lead").select("col", "id"), shared, size, percent)
     least = classes.select("id", "class").join(label, "id", "left").select("class", F.coalesce("comp", "id").alias("comp"))
     docs_in = s.cut(light.filter("n > 0").join(least, "class").select("doc_id", "tkey", "n", "comp"), "labelled")
     best = s.cut(docs_in.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "tkey")).alias("first_key")), "components")
@@ -228,26 +231,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.unionByName(alone)
 
 
-def _matrix_rows(d: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """The whole sets of the classes that share a column with another, each taken from one of its documents."""
-    want = members.select("id", "class", F.col("one.doc_id").alias("w_doc"), F.col("one.tkey").alias("w_key"))
-    if members.count() <= BROADCAST_ROWS:
+def _matrix_rows(d: DataFrame, want: DataFrame, size: int) -> DataFrame:
+    """The whole sets of classes want(id, class, one), each taken from one of its documents."""
+    want = want.select("id", "class", F.col("one.doc_id").alias("w_doc"), F.col("one.tkey").alias("w_key"))
+    if want.count() <= BROADCAST_ROWS:
         want = F.broadcast(want)  # at most BROADCAST_ROWS rows of some 50 bytes; beyond that a sorted join
     mine = d.join(want, (d.tkey == F.col("w_key")) & d.doc_id.eqNullSafe(F.col("w_doc")))
-    return mine.select("text", "id", "class").mapInArrow(_take_sets(size), "id long, grams array<long>").dropDuplicates(["id"])
+    return mine.select("text", "id", "class").mapInArrow(_take_sets(size), "id long, grams array<long>")
+
+
+def _left_possible(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose overlap over the multiplied columns leaves the bound within reach."""
+    x = pairs.select("a", "b")
+    for side in "ab":
+        x = x.join(shared.select(F.col("id").alias(side), F.col("cols").alias(f"c{side}"), F.col("n").alias(f"n{side}"), F.col("rest").alias(f"r{side}")), side)
+    reach = F.size(F.array_intersect("ca", "cb")) + F.greatest("ra", "rb")
+    return x.filter(reach * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose overlap reaches the percentage of their union."""
     x = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     x = x.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("both"), (F.size("ga") + F.size("gb")).alias("sum"))
-    return x.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
+    return x.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b").distinct()
 
 
-def _joined(s: Scratch, cols: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _joined(s: Scratch, d: DataFrame, cols: DataFrame, shared: DataFrame, size: int, percent: int) -> DataFrame:
     """(id, comp) of the classes that have links."""
     spark = s.spark
-    at = s.cut(cols.join(sizes, "id"), "at0")
+    at = s.cut(cols.join(shared.select("id", "n"), "id"), "at1").withColumn("comp", F.col("id"))
     label = spark.createDataFrame([], "id long, comp long")
     links = spark.createDataFrame([], "a long, b long")
     for turn in range(1, HUB_ROUNDS + 2):
@@ -256,10 +268,7 @@ def _joined(s: Scratch, cols: DataFrame, sizes: DataFrame, sets: DataFrame, perc
             now = s.cut(now, f"now{turn}")
             open_cols = s.cut(now.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("col"), f"open{turn}")
             at = s.cut(now.join(open_cols, "col", "left_semi"), f"at{turn}")
-        else:
-            at = at.withColumn("comp", F.col("id"))
-        if at.isEmpty():
-            break
+            s.drop(f"now{turn}", f"open{turn}", f"at{turn - 1}")
         if turn <= HUB_ROUNDS:
             key = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")
             hubs = s.cut(at.groupBy("col").agg(F.min(key).alias("hub")), f"hubs{turn}")
@@ -268,8 +277,13 @@ def _joined(s: Scratch, cols: DataFrame, sizes: DataFrame, sets: DataFrame, perc
             other = at.select("col", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
             pairs = at.withColumnRenamed("n", "na").join(other, "col").filter("id < b AND comp <> cb").select(F.col("id").alias("a"), "b", "na", "nb")
         pairs = pairs.filter(_possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = s.cut(pairs, f"pairs{turn}")
+        pairs = s.cut(_left_possible(s.cut(pairs, f"met{turn}"), shared, percent), f"pairs{turn}")
+        if pairs.isEmpty():
+            continue
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = s.cut(_matrix_rows(d, shared.select("id", "class", "one").join(ids, "id", "left_semi"), size), f"rows{turn}")
         found = s.cut(_verified(pairs, sets, percent), f"links{turn}")
+        s.drop(f"rows{turn}")
         if not found.isEmpty():
             links = links.unionByName(found)
             label = components(links, s, f"cc{turn}")
