@@ -16,7 +16,7 @@ def open_new(folder: str, suffix: str):
     uri = f"{folder}/{uuid.uuid4().hex}{suffix}"
     store, path = _at(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return uri, store.open_output_stream(path)
+    return uri, store.open_output_stream(path, compression=None)
 
 
 def open_old(uri: str):

@@ -14,6 +14,19 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_warc, write_warc
+
+    got = read_warc(write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) AS BIGINT)")
+    response = F.col("record_type") == "response"
+    return got.select(
+        number("record_id").alias("page_id"), F.when(response, F.col("n")).otherwise(F.col("stated")).alias("payload_bytes"),
+        F.when(response, F.col("sha1")).otherwise(F.regexp_replace("digest", "^sha1:", "")).alias("payload_digest"),
+        "record_type", number("refers_to").alias("refers_to"),
+    )
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_jaccard import near_groups
 
@@ -76,7 +89,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_ngram_jaccard, op5_exact_dedup, op6_best_fit_packing, op7_token_ids, op9_secret_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_warc, op3_ngram_jaccard, op5_exact_dedup, op6_best_fit_packing, op7_token_ids, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
