@@ -33,6 +33,13 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import audio_features, store_audio
+
+    found = audio_features(store_audio(_documents(spark, sf_dir)))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "loud")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -89,7 +96,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op3_ngram_jaccard, op5_exact_dedup, op6_best_fit_packing, op7_token_ids, op9_secret_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_warc, op3_ngram_jaccard, op4_audio, op5_exact_dedup, op6_best_fit_packing, op7_token_ids, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
