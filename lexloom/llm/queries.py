@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -82,6 +83,12 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_ids(write_token_ids(_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE)))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spm_nbest import encode_n_best
+
+    return encode_n_best(_documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import listed, merged, scan
 
@@ -113,7 +120,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_sharding, op3_ngram_jaccard, op4_audio, op5_exact_dedup, op6_best_fit_packing, op7_token_ids, op9_secret_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_warc, op2_sharding, op3_ngram_jaccard, op4_audio, op5_exact_dedup, op6_best_fit_packing, op7_token_ids, op8_sentencepiece, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
