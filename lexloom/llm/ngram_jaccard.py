@@ -6,13 +6,12 @@ first n - ceil(t*n) + 1 of each: only those entries are multiplied, in blocks of
 only for pairs that some block leaves possible. Any order of columns gives whole results; the common ones that are put
 last come from bounded counts of every task.
 
-A block doesn't multiply out a column with many rows. It pairs each row with the column's hub (the row whose id hashes
-lowest); links join rows into components. Columns whose rows have ended in one component are done. For the others
-another hub is taken, and after some rounds what is left, pairs of rows of different components that share a column, is
-taken in full. So every possible link between different components has been looked at in the end, whatever the size of
-a group of copies. For each pair the overlap over the multiplied entries is counted first: the rest of the row that ends
-earlier in the order can add no more than its length, so pairs that stay below the bound go, and whole rows are read
-only for those left.
+A column's rows come with the first columns that each shares with any other row. A block multiplies those small matrices,
+keeps a pair only at the first column that both share, and drops it if its overlap there and all that can follow (the
+rest of the row that ends earlier in the order) stays below the bound. What is left of a column is compared over whole
+rows, again as a product in blocks of columns that accumulates overlap counts, and only a spanning forest of its links
+comes out. So pairs never become rows of a table, however large a group of copies, and no possible pair is left out.
+Columns with many rows are cut into chunks, whose pairs go to different tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -30,8 +29,9 @@ from .scratch import Scratch
 from .textkernel import doc_runs, mix, shingle_sets, utf8
 
 SIZE, PERCENT = 5, 80
-COMMON, COMMON_PER_TASK, ENTRIES_PER_BLOCK, HUB_ROUNDS = 1 << 17, 1 << 13, 1 << 20, 2
-BROADCAST_ROWS = 200_000
+COMMON, COMMON_PER_TASK, ENTRIES_PER_BLOCK = 1 << 17, 1 << 13, 1 << 20
+CHUNK_ROWS, CHUNK_GRAMS, SENT, VOCABULARY = 2048, 1 << 22, 64, 4096
+BROADCAST_ROWS, SEEN = 200_000, 500_000
 
 
 def _sets(column: pa.Array, size: int):
@@ -88,11 +88,13 @@ class Order:
         return np.concatenate([np.delete(out, maybe), np.sort(self.rank[at]) | np.uint64(1 << 63)])
 
 
-def _name(grams: np.ndarray) -> bytes:
-    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+def _name(grams: np.ndarray, salt: int) -> tuple[int, int]:
+    """A class's number, and a second one that shows if two classes have the same number."""
+    data = hashlib.blake2b(grams.tobytes(), digest_size=16, salt=salt.to_bytes(4, "little")).digest()
+    return int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:], "little", signed=True)
 
 
-def _rows(size: int, percent: int, common: np.ndarray):
+def _rows(size: int, percent: int, common: np.ndarray, salt: int):
     """Per document: its own key, the class, the set's size and the first columns of its row."""
 
     def run(batches):
@@ -100,44 +102,42 @@ def _rows(size: int, percent: int, common: np.ndarray):
         for batch in batches:
             for a, sets in _sets(batch.column(0), size):
                 n = [len(v) for v in sets]
+                names = [_name(v, salt) for v in sets]
                 first = [order.place(v)[: k - -(-percent * k // 100) + 1].tobytes() if k else b"" for v, k in zip(sets, n)]
                 part = batch.slice(a, len(sets))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), part.column(2), pa.array([_name(v) for v in sets], pa.binary()), pa.array(n, pa.int64()), pa.array(first, pa.binary())],
-                    names=["doc_id", "tkey", "class", "n", "first"],
+                    [part.column(1), part.column(2), pa.array([x for x, _ in names]), pa.array([x for _, x in names]), pa.array(n, pa.int64()), pa.array(first, pa.binary())],
+                    names=["doc_id", "tkey", "id", "second", "n", "first"],
                 )
 
     return run
 
 
 def _scatter(blocks: int):
-    """Entries of the matrix by block of columns, as bytes of columns and of rows. Those of common columns stand alone."""
-    names = ["block", "col", "id", "grams", "rows"]
+    """Entries of the matrix by block of columns, as bytes of columns and of rows."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        common = np.uint64(1 << 63)
 
         def flush():
             g, r = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            often = g >= common
-            if often.any():
-                none = pa.nulls(int(often.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(g[often].view(np.int64)), pa.array(r[often]), *[pa.nulls(int(often.sum()), pa.binary())] * 2], names=names)
-                g, r = g[~often], r[~often]
             block = (mix(g) % np.uint64(blocks)).astype(np.int64)
             by = np.argsort(block, kind="stable")
             g, r, block = g[by], r[by], block[by]
-            edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
-            ends = [*edge[1:], len(block)] if len(block) else []
-            none = pa.nulls(len(edge), pa.int64())
-            data = [pa.array([x[i:j].tobytes() for i, j in zip(edge, ends)], pa.binary()) for x in (g, r)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(block[i]) for i in edge], pa.int64()), none, none, *data], names=names)
+            start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            ends = [*start[1:], len(block)]
+            data = [pa.array([x[i:j].tobytes() for i, j in zip(start, ends)], pa.binary()) for x in (g, r)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[start].astype(np.int32)), *data], names=["block", "grams", "rows"])
 
-        waiting = 0
+        waiting, seen = 0, set()
         for batch in batches:
             for i, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if i in seen:  # a copy; those in other tasks meet in the block
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(i)
                 g = np.frombuffer(first, np.uint64)
                 held.append((g, np.full(len(g), i, np.int64)))
                 waiting += len(g)
@@ -150,8 +150,13 @@ def _scatter(blocks: int):
     return run
 
 
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers as signed ones of the same order."""
+    return (x ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def _columns(batches):
-    """Entries of columns with two rows or more; lead is set for one of the columns that have the same rows."""
+    """Entries of columns with two rows or more; lead is set for the first of the columns that have the same rows."""
     got = [(g, r) for batch in batches for g, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
     if not got:
         return
@@ -159,8 +164,9 @@ def _columns(batches):
     r = np.frombuffer(b"".join(x for _, x in got), np.int64)
     by = np.lexsort((r, g))
     g, r = g[by], r[by]
-    head = np.concatenate([[True], g[1:] != g[:-1]])
-    start = np.flatnonzero(head)
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (r[1:] != r[:-1])])
+    g, r = g[new], r[new]
+    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     size = np.diff(np.append(start, len(g)))
     marks = [np.add.reduceat(mix(r.view(np.uint64) + np.uint64(k)), start) for k in (1, 0x51ED2701)]
     many = np.flatnonzero(size > 1)
@@ -171,25 +177,145 @@ def _columns(batches):
     rows = np.flatnonzero(np.repeat(size > 1, size))
     for i in range(0, len(rows), 100_000):
         at = rows[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(r[at]), pa.array(lead[at])], names=["col", "id", "lead"])
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(g[at])), pa.array(r[at]), pa.array(lead[at])], names=["col", "id", "lead"])
+
+
+def _groups(batches, keys: int):
+    """Rows that come sorted by their first `keys` columns, as one list of rows for each group."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != now:
+                if held:
+                    yield held
+                now, held = row[:keys], []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _product(lists: list[np.ndarray], before: int | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Overlap counts of all pairs of sets, and those over numbers below `before`; columns a block at a time."""
+    k = len(lists)
+    flat = np.concatenate(lists)
+    own = np.repeat(np.arange(k), [len(x) for x in lists])
+    values, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    useful = count > 1
+    new = np.cumsum(useful) - 1
+    keep = useful[place]
+    own, place, values = own[keep], new[place[keep]], values[useful]
+    by = np.argsort(place, kind="stable")
+    own, place = own[by], place[by]
+    total = np.zeros((k, k), np.float32)
+    early = np.zeros((k, k), np.float32) if before is not None else None
+    split = int(np.searchsorted(values, before)) if before is not None else len(values)
+    edges = sorted({*range(0, len(values), VOCABULARY), split, len(values)})
+    for a, b in zip(edges, edges[1:]):
+        i, j = np.searchsorted(place, (a, b))
+        m = np.zeros((k, b - a), np.float32)
+        m[own[i:j], place[i:j] - a] = 1
+        part = m @ m.T
+        total += part
+        if early is not None and b <= split:
+            early += part
+    return total, early
+
+
+def _candidates(percent: int):
+    """Per column (or pair of chunks of one): the pairs that this column owns and that the bounds leave."""
+
+    def owned(rows):
+        col = rows[0][1]
+        ids = np.array([r[3] for r in rows], np.int64)
+        n = np.array([r[4] for r in rows], np.int64)
+        rest = -(-percent * n // 100) - 1 + np.array([r[6] for r in rows], np.int64)
+        side = np.array([r[2] for r in rows])
+        apart = len(set(side.tolist())) > 1 or rows[0][7]
+        if len(rows) <= 16:
+            sets = [frozenset(r[5]) for r in rows]
+            a, b = [], []
+            for i in range(len(rows)):
+                for j in range(i):
+                    if apart and side[i] == side[j] or 100 * min(n[i], n[j]) < percent * max(n[i], n[j]):
+                        continue
+                    both = sets[i] & sets[j]
+                    if (not both or min(both) >= col) and (max(len(both), 1) + max(rest[i], rest[j])) * (100 + percent) >= (n[i] + n[j]) * percent:
+                        a.append(i)
+                        b.append(j)
+            return ids, np.array(a, np.int64), np.array(b, np.int64)
+        both, early = _product([np.asarray(r[5], np.int64) for r in rows], col)
+        ok = np.tri(len(rows), k=-1, dtype=bool) & (early == 0)
+        ok &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+        ok &= (np.maximum(both, 1) + np.maximum.outer(rest, rest)) * (100 + percent) >= np.add.outer(n, n) * percent
+        if apart:
+            ok &= side[:, None] != side[None, :]
+        a, b = np.nonzero(ok)
+        return ids, a, b
 
-
-def _take_sets(size: int):
     def run(batches):
-        for batch in batches:
-            want = batch.column(2).to_pylist()
-            for a, sets in _sets(batch.column(0), size):
-                at = [k for k, v in enumerate(sets) if _name(v) == want[a + k]]
+        for rows in _groups(batches, 2):
+            ids, a, b = owned(rows)
+            if len(a):
+                used = np.unique(np.concatenate([a, b]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(a, len(sets)).take(pa.array(at, pa.int64())), pa.array([sets[k].view(np.int64) for k in at], pa.list_(pa.int64()))],
-                    names=["id", "grams"],
+                    [pa.array([rows[0][0]]), pa.array([ids[used].tolist()], pa.list_(pa.int64())), pa.array([ids[a].tobytes()], pa.binary()), pa.array([ids[b].tobytes()], pa.binary())],
+                    names=["key", "ids", "a", "b"],
                 )
 
     return run
 
 
-def _possible(percent: int, a: str = "na", b: str = "nb") -> Column:
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
+def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what others don't."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        i, j = top(x), top(y)
+        if i != j:
+            up[i] = j
+            out.append((x, y))
+    return out
+
+
+def _linked(percent: int):
+    """Per column: the candidate pairs whose whole rows overlap enough, as a spanning forest."""
+
+    def run(batches):
+        for rows in _groups(batches, 1):
+            a = np.frombuffer(b"".join(r[3] for r in rows if r[1] == 0), np.int64)
+            b = np.frombuffer(b"".join(r[4] for r in rows if r[1] == 0), np.int64)
+            sets = {r[2]: np.frombuffer(r[3], np.uint64) for r in rows if r[1] == 1}
+            ids = np.array(sorted(sets), np.int64)
+            lists = [sets[i] for i in ids.tolist()]
+            n = np.array([len(x) for x in lists], np.int64)
+            i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
+            if len(a) > 4 * len(ids):
+                both = _product(lists)[0][i, j].astype(np.int64)
+            else:
+                both = np.array([len(np.intersect1d(lists[x], lists[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
+            ok = 100 * both >= percent * (n[i] + n[j] - both)
+            found = _forest(a[ok], b[ok])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    return run
+
+
+def _take_sets(size: int, salt: int):
+    def run(batches):
+        for batch in batches:
+            want = batch.column(1).to_pylist()
+            for a, sets in _sets(batch.column(0), size):
+                at = [k for k, v in enumerate(sets) if len(v) and _name(v, salt)[0] == want[a + k]]
+                yield pa.RecordBatch.from_arrays([pa.array([want[a + k] for k in at], pa.int64()), pa.array([sets[k].tobytes() for k in at], pa.binary())], names=["id", "grams"])
+
+    return run
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -207,87 +333,61 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = d.select("text").mapInArrow(_common(size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(COMMON)
     common = np.array([r["gram"] for r in top.filter("n > 2").collect()], np.int64).view(np.uint64)  # most common first, at most COMMON
     common = common[::-1].copy()
-    found = s.cut(d.mapInArrow(_rows(size, percent, common), "doc_id long, tkey long, class binary, n long, first binary"), "documents")
-    light = found.select("doc_id", "tkey", "class", "n")
-    classes = found.filter("n > 0").groupBy("class").agg(
-        F.first("n").alias("n"), F.first("first").alias("first"), F.min(F.struct("doc_id", "tkey")).alias("one")
-    )
-    classes = s.cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    entries = classes.agg(F.sum(F.octet_length("first") / 8)).first()[0] or 0
+    schema = "doc_id long, tkey long, id long, second long, n long, first binary"
+    for salt in range(100):  # two classes with one number have not been seen; another salt parts them
+        found = s.cut(d.mapInArrow(_rows(size, percent, common, salt), schema), f"documents{salt}")
+        clash = found.filter("n > 0").groupBy("id").agg(F.min("second").alias("x"), F.max("second").alias("y")).filter("x <> y")
+        if clash.isEmpty():
+            break
+    light = s.cut(found.select("doc_id", "tkey", "id", "n"), "light")
+    classes = s.cut(light.filter("n > 0").groupBy("id").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "tkey")).alias("one")), "classes")
+    entries = classes.agg(F.sum(F.expr(f"n - ({percent} * n + 99) DIV 100 + 1"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries / ENTRIES_PER_BLOCK))
-    spread = s.cut(classes.select("id", "first").mapInArrow(_scatter(blocks), "block long, col long, id long, grams binary, rows binary"), "entries")
-    often = spread.filter("block IS NULL").select("col", "id", F.lit(True).alias("lead"))
-    cols = spread.filter("block IS NOT NULL").repartition(blocks, "block").select("grams", "rows").mapInArrow(_columns, "col long, id long, lead boolean")
-    cols = s.cut(cols.unionByName(often), "columns")
-    s.drop("entries")
-    shared = cols.groupBy("id").agg(F.collect_list("col").alias("cols"))  # no more than the first columns of one row
-    shared = s.cut(shared.join(classes.select("id", "class", "n", "one"), "id").withColumn("rest", F.expr(f"CAST(({percent} * n + 99) DIV 100 AS BIGINT) - 1")), "shared")
-    label = _joined(s, d, cols.filter("lead").select("col", "id"), shared, size, percent)
-    least = classes.select("id", "class").join(label, "id", "left").select("class", F.coalesce("comp", "id").alias("comp"))
-    docs_in = s.cut(light.filter("n > 0").join(least, "class").select("doc_id", "tkey", "n", "comp"), "labelled")
+    spread = found.filter("n > 0").select("id", "first").mapInArrow(_scatter(blocks), "block int, grams binary, rows binary")
+    cols = s.cut(spread.repartition(blocks, "block").select("grams", "rows").mapInArrow(_columns, "col long, id long, lead boolean"), "columns")
+    s.drop(f"documents{salt}")
+    links = _links(s, d, cols, classes, size, percent, salt, blocks)
+    label = components(links, s)
+    docs_in = s.cut(light.filter("n > 0").join(label, "id", "left").select("doc_id", "tkey", "n", F.coalesce("comp", "id").alias("comp")), "labelled")
     best = s.cut(docs_in.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "tkey")).alias("first_key")), "components")
     out = docs_in.join(best, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "tkey", "first_key")
     alone = light.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "tkey", F.struct("doc_id", "tkey").alias("first_key"))
     return out.unionByName(alone)
 
 
-def _matrix_rows(d: DataFrame, want: DataFrame, size: int) -> DataFrame:
-    """The whole sets of classes want(id, class, one), each taken from one of its documents."""
-    want = want.select("id", "class", F.col("one.doc_id").alias("w_doc"), F.col("one.tkey").alias("w_key"))
+def _links(s: Scratch, d: DataFrame, cols: DataFrame, classes: DataFrame, size: int, percent: int, salt: int, blocks: int) -> DataFrame:
+    """Links (a, b) between classes, a spanning forest for each column."""
+    shared = cols.groupBy("id").agg(F.sort_array(F.collect_list("col")).alias("cols"))  # no more than a row's first columns
+    shared = shared.select("id", F.slice("cols", 1, SENT).alias("cols"), F.greatest(F.lit(0), F.size("cols") - SENT).alias("more"))
+    at = cols.filter("lead").select("col", "id").join(classes.select("id", "n"), "id").join(shared, "id")
+    at = s.cut(at, "sent")
+    large = at.groupBy("col").agg(F.count("*").alias("k"), F.sum("n").alias("w")).select("col", F.ceil(F.greatest(F.col("k") / CHUNK_ROWS, F.col("w") / CHUNK_GRAMS)).cast("int").alias("chunks"))
+    large = s.cut(large.filter("chunks > 1"), "large")
+    mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    whole = at.join(large.select("col"), "col", "left_anti").select("col", F.lit(0).alias("side"), "id", "n", "cols", "more", F.lit(0).alias("x"), F.lit(0).alias("y"))
+    cut = at.join(large, "col").withColumn("side", mine).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cut = cut.select("col", "side", "id", "n", "cols", "more", F.least("side", "z").alias("x"), F.greatest("side", "z").alias("y"))
+    rows = whole.unionByName(cut).withColumn("key", F.xxhash64("col", "x", "y"))
+    rows = rows.select("key", F.col("col"), "side", "id", "n", "cols", "more", (F.col("x") != F.col("y")).alias("apart"), "x", "y")
+    rows = rows.repartition(blocks, "key").sortWithinPartitions("key", "col", "x", "y").drop("x", "y")
+    pairs = s.cut(rows.mapInArrow(_candidates(percent), "key long, ids array<long>, a binary, b binary"), "pairs")
+    s.drop("sent", "large")
+    used = pairs.select("key", F.explode("ids").alias("id"))
+    sets = _matrix_rows(d, classes.join(used.select("id").distinct(), "id", "left_semi"), size, salt)
+    sets = s.cut(sets, "sets")
+    need = used.join(sets, "id").select("key", F.lit(1).alias("kind"), "id", F.col("grams").alias("a"), F.lit(None).cast("binary").alias("b"))
+    both = need.unionByName(pairs.select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "a", "b"))
+    both = both.repartition(blocks, "key").sortWithinPartitions("key", "kind")
+    return s.cut(both.mapInArrow(_linked(percent), "a long, b long"), "links")
+
+
+def _matrix_rows(d: DataFrame, want: DataFrame, size: int, salt: int) -> DataFrame:
+    """The whole sets of classes want(id, one), each taken from one of its documents."""
+    want = want.select("id", F.col("one.doc_id").alias("w_doc"), F.col("one.tkey").alias("w_key"))
     if want.count() <= BROADCAST_ROWS:
         want = F.broadcast(want)  # at most BROADCAST_ROWS rows of some 50 bytes; beyond that a sorted join
     mine = d.join(want, (d.tkey == F.col("w_key")) & d.doc_id.eqNullSafe(F.col("w_doc")))
-    return mine.select("text", "id", "class").mapInArrow(_take_sets(size), "id long, grams array<long>")
-
-
-def _left_possible(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose overlap over the multiplied columns leaves the bound within reach."""
-    x = pairs.select("a", "b")
-    for side in "ab":
-        x = x.join(shared.select(F.col("id").alias(side), F.col("cols").alias(f"c{side}"), F.col("n").alias(f"n{side}"), F.col("rest").alias(f"r{side}")), side)
-    reach = F.size(F.array_intersect("ca", "cb")) + F.greatest("ra", "rb")
-    return x.filter(reach * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap reaches the percentage of their union."""
-    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    x = x.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("both"), (F.size("ga") + F.size("gb")).alias("sum"))
-    return x.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b").distinct()
-
-
-def _joined(s: Scratch, d: DataFrame, cols: DataFrame, shared: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, comp) of the classes that have links."""
-    spark = s.spark
-    at = s.cut(cols.join(shared.select("id", "n"), "id"), "at1").withColumn("comp", F.col("id"))
-    label = spark.createDataFrame([], "id long, comp long")
-    links = spark.createDataFrame([], "a long, b long")
-    for turn in range(1, HUB_ROUNDS + 2):
-        if turn > 1:
-            now = at.drop("comp").join(label, "id", "left").select("col", "id", "n", F.coalesce("comp", "id").alias("comp"))
-            now = s.cut(now, f"now{turn}")
-            open_cols = s.cut(now.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("col"), f"open{turn}")
-            at = s.cut(now.join(open_cols, "col", "left_semi"), f"at{turn}")
-            s.drop(f"now{turn}", f"open{turn}", f"at{turn - 1}")
-        if turn <= HUB_ROUNDS:
-            key = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")
-            hubs = s.cut(at.groupBy("col").agg(F.min(key).alias("hub")), f"hubs{turn}")
-            pairs = at.join(hubs, "col").filter("comp <> hub.comp").select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
-        else:
-            other = at.select("col", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = at.withColumnRenamed("n", "na").join(other, "col").filter("id < b AND comp <> cb").select(F.col("id").alias("a"), "b", "na", "nb")
-        pairs = pairs.filter(_possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = s.cut(_left_possible(s.cut(pairs, f"met{turn}"), shared, percent), f"pairs{turn}")
-        if pairs.isEmpty():
-            continue
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = s.cut(_matrix_rows(d, shared.select("id", "class", "one").join(ids, "id", "left_semi"), size), f"rows{turn}")
-        found = s.cut(_verified(pairs, sets, percent), f"links{turn}")
-        s.drop(f"rows{turn}")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            label = components(links, s, f"cc{turn}")
-    return label
+    return mine.select("text", "id").mapInArrow(_take_sets(size, salt), "id long, grams binary").dropDuplicates(["id"])
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
