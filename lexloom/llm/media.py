@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import open_new, open_old
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 RATE, UP, DOWN, TAPS = 8000, 5, 8, 16  # 8000 to 5000 samples a second, 16 taps a phase
 FRAME, HOP, BANDS, SHAPE = 256, 128, 16, (16, 16)  # frames half overlapped; a tensor has 16 frames of 16 bands
@@ -201,6 +201,7 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns doc_id, n_bytes (before padding), media. Null text: empty, that is one unit of zeros. Every row is stored,
     repeated rows as often as they occur; extra columns are not read; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     s = Scratch(docs.sparkSession, "media")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("bytes"))
     return s.cut(d.mapInArrow(_store(unit), "doc_id long, n_bytes long, media binary"), "audio", "zstd")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .tokenizing import encoder, runs
 
 CAPACITY, END_ID = 1024, 2
@@ -78,6 +78,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows are packed as often as they occur, null ids stay null, an empty table gives no rows, extra columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     s = Scratch(spark, "packing")
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
+from .scratch import small_batches
 from .textkernel import doc_runs, utf8, word_hashes
 
-BITS, DIMENSIONS, EPOCHS, RATE, MAX_ROWS, THRESHOLD = 16, 8, 8, 0.5, 4000, 0.3
+BITS, DIMENSIONS, EPOCHS, RATE, MAX_ROWS, THRESHOLD = 16, 8, 12, 0.5, 2000, 0.3
 _WINDOW = 1 << 22
 _GRAMS = ((3, 0x9E3779B1), (4, 0x85EBCA77))
 _SCALE = 1 << 16
@@ -96,7 +97,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1, epochs: i
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (REPEAT + 1, DIMENSIONS))
     out, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
     out[1] = rng.uniform(-1, 1, DIMENSIONS)
-    rows = [(i, c / max(1, c.sum()), y) for i, c, y in rows]
+    rows = [(i, (c / max(1, c.sum())).astype(np.float32), y) for i, c, y in rows]
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
@@ -129,13 +130,13 @@ def _count(batches):
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "doc_id", max_rows: int = MAX_ROWS, seed: int = 1) -> Model:
     """Fit on the max_rows rows whose order_col hashes lowest, fewer if there are fewer. Rows without a label don't count."""
+    small_batches(labelled.sparkSession)
     part = labelled.filter(F.col(label_col).isNotNull()).select(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(order_col).alias("h")
     )
     part = part.orderBy("h", "text", "label").limit(max_rows)
-    rows = part.select("text", "label").mapInArrow(_count, "buckets binary, counts binary, label int").collect()  # at most max_rows
-    found = [(np.frombuffer(r.buckets, "<u4").astype(np.int64), np.frombuffer(r.counts, "<u4").astype(np.float64), int(r.label > 0)) for r in rows]
-    return fit(found, seed)
+    rows = part.select("text", "label").mapInArrow(_count, "buckets binary, counts binary, label int").toArrow()  # at most max_rows
+    return fit([(np.frombuffer(i, "<u4"), np.frombuffer(c, "<u4"), int(y > 0)) for i, c, y in zip(*(c.to_pylist() for c in rows.columns))], seed)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
@@ -143,6 +144,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
     Null and empty texts get the score of a text without features, repeated rows the same score, an empty table no rows.
     """
+    small_batches(docs.sparkSession)
     table, bias = model.table, model.bias
     docs = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
     out = docs.select(*[f"`{c}`" for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted", "__text")], "__text")

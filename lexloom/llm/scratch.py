@@ -17,6 +17,16 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+#: Rows in a batch of texts for Python workers, whose memory holds a few batches at a time.
+BATCH_ROWS, _BATCH = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: use BATCH_ROWS unless the session has a setting of its own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 class Scratch:
     """A new folder inside the shared one. Tables in it are written once and read many times."""
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .tokenizing import runs
 
 SPACE, N_BEST, MOST_PARTS = "▁", 3, 400_000
@@ -253,6 +254,7 @@ def encode_n_best(docs: DataFrame, model: str, n: int = N_BEST, id_col: str = "d
     Null text: empty, no pieces, one empty segmentation. With whole, segmentations has the ids of all n. Repeated rows
     give repeated results; an empty table no rows; extra columns are not read.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, n_pieces long, ids_crc32 long, score double, n_best int, scores string, crcs string, decoded_sha256 string, same_text boolean"
     return d.mapInArrow(_encode(model, n, whole), schema + ", segmentations array<array<int>>" * whole)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .files import open_new, open_old
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .tokenizing import encoder, runs
 
 BLOCK, CHUNK_IDS, MAGIC, END_ID, PERCENTILE = 128, 1 << 20, b"LXPF0001", 2, 90
@@ -195,6 +195,7 @@ def write_token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     The manifest is committed as a table, so files of lost attempts are never read. Null ids come first, rows of equal
     ids in the order of their text's hash. Null text: empty, that is the end id alone. Empty table: no files.
     """
+    small_batches(docs.sparkSession)
     s = Scratch(docs.sparkSession, "token-ids")
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .files import open_new, open_old
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 MAGIC, SPLIT_BYTES, FILE_BYTES, READ_BYTES, LEVEL = b"\x1f\x8b\x08", 64 << 20, 1 << 30, 1 << 20, 3
 DATE = "1970-01-01T00:00:00Z"
@@ -79,6 +79,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     payloads are all responses. Null payload: empty. Null url: no WARC-Target-URI. Empty table: no files. Extra columns
     are not read. A payload travels once for each distinct one and map task; other rows travel without it.
     """
+    small_batches(pages.sparkSession)
     s = Scratch(pages.sparkSession, "warc")
     data = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), data.alias("data"))
