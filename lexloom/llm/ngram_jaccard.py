@@ -8,8 +8,8 @@ last come from bounded counts of every task.
 
 A column's rows come with the first columns that each shares with any other row. A block multiplies those small matrices,
 keeps a pair only at the first column that both share, and drops it if its overlap there and all that can follow (the
-rest of the row that ends earlier in the order) stays below the bound. What is left of a column is compared over whole
-rows, again as a product in blocks of columns that accumulates overlap counts, and only a spanning forest of its links
+rest of the row that ends earlier in the order) stays below the bound. Rows with many shared columns are sent with some
+of them at first and with all for the pairs that remain. What is left of a column is compared over whole rows, again as a product in blocks of columns that accumulates overlap counts, and only a spanning forest of its links
 comes out. So pairs never become rows of a table, however large a group of copies, and no possible pair is left out.
 Columns with many rows are cut into chunks, whose pairs go to different tasks.
 """
@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .textkernel import doc_runs, mix, shingle_sets, utf8
 
 SIZE, PERCENT = 5, 80
-COMMON, COMMON_PER_TASK, ENTRIES_PER_BLOCK = 1 << 17, 1 << 13, 1 << 20
-CHUNK_ROWS, CHUNK_GRAMS, SENT, VOCABULARY = 2048, 1 << 22, 64, 4096
+COMMON, COMMON_PER_TASK, COUNTED, ENTRIES_PER_BLOCK = 1 << 18, 1 << 15, 1 << 20, 1 << 19
+CHUNK_ROWS, CHUNK_GRAMS, SENT, VOCABULARY, STRIPE = 1024, 1 << 21, 64, 4096, 256
 BROADCAST_ROWS, SEEN = 200_000, 500_000
 
 
@@ -40,23 +40,37 @@ def _sets(column: pa.Array, size: int):
         yield a, shingle_sets(x[at[a] : at[b]], at[a : b + 1] - at[a], size)
 
 
+def _counted(grams: np.ndarray, counts: np.ndarray, new: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts with those of new sets added; if there are more than `most`, those met once go."""
+    flat = np.concatenate([grams, *new])
+    weight = np.concatenate([counts, np.ones(len(flat) - len(grams), np.int64)])
+    by = np.argsort(flat, kind="stable")
+    flat, weight = flat[by], weight[by]
+    start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    grams, counts = flat[start], np.add.reduceat(weight, start) if len(start) else weight
+    if len(grams) > most:
+        keep = counts > 1
+        grams, counts = grams[keep], counts[keep]
+    return grams, counts
+
+
 def _common(size: int):
-    """Per task the n-grams most often met in more than one document of a batch, at most COMMON_PER_TASK of them."""
+    """Per task the n-grams met in most of its documents, at most COMMON_PER_TASK of them, by lossy counting."""
 
     def run(batches):
         grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, waiting = [], 0
         for batch in batches:
             for _, sets in _sets(batch.column(0), size):
-                g, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (grams[:0], counts[:0])
-                keep = c > 1
-                if len(sets) == 1 or not keep.any():
-                    continue
-                g, back = np.unique(np.concatenate([grams, g[keep]]), return_inverse=True)
-                c = np.bincount(back, np.concatenate([counts, c[keep]])).astype(np.int64)
-                if len(g) > 4 * COMMON_PER_TASK:
-                    top = np.sort(np.argpartition(-c, COMMON_PER_TASK)[:COMMON_PER_TASK])
-                    g, c = g[top], c[top]
-                grams, counts = g, c
+                held += sets
+                waiting += sum(map(len, sets))
+                if waiting > COUNTED // 2:
+                    grams, counts = _counted(grams, counts, held, COUNTED)
+                    held, waiting = [], 0
+        if held:
+            grams, counts = _counted(grams, counts, held, COUNTED)
+        often = counts > 1
+        grams, counts = grams[often], counts[often]
         if len(grams) > COMMON_PER_TASK:
             top = np.argpartition(-counts, COMMON_PER_TASK)[:COMMON_PER_TASK]
             grams, counts = grams[top], counts[top]
@@ -244,12 +258,18 @@ def _candidates(percent: int):
                         b.append(j)
             return ids, np.array(a, np.int64), np.array(b, np.int64)
         both, early = _product([np.asarray(r[5], np.int64) for r in rows], col)
-        ok = np.tri(len(rows), k=-1, dtype=bool) & (early == 0)
-        ok &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
-        ok &= (np.maximum(both, 1) + np.maximum.outer(rest, rest)) * (100 + percent) >= np.add.outer(n, n) * percent
-        if apart:
-            ok &= side[:, None] != side[None, :]
-        a, b = np.nonzero(ok)
+        out = []
+        for i in range(0, len(rows), STRIPE):  # a stripe of the pairs' matrix at a time
+            own = slice(i, i + STRIPE)
+            x, y = n[own, None], n[None, :]
+            ok = (np.arange(len(rows))[None, :] < np.arange(i, min(i + STRIPE, len(rows)))[:, None]) & (early[own] == 0)
+            ok &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+            ok &= (np.maximum(both[own], 1) + np.maximum(rest[own, None], rest[None, :])) * (100 + percent) >= (x + y) * percent
+            if apart:
+                ok &= side[own, None] != side[None, :]
+            a, b = np.nonzero(ok)
+            out.append((a + i, b))
+        a, b = (np.concatenate(x) for x in zip(*out))
         return ids, a, b
 
     def run(batches):
@@ -265,6 +285,82 @@ def _candidates(percent: int):
     return run
 
 
+def _families(a: np.ndarray, b: np.ndarray):
+    """One row for each family that pairs join: its least id, all its ids and its pairs."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = place[: len(a)], place[len(a) :]
+    label = np.arange(len(ids))
+    while True:  # the least label of a neighbour, then that one's label
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    for k in np.unique(label):
+        own = label[i] == k
+        yield int(ids[k]), ids[label == k].tolist(), a[own].tobytes(), b[own].tobytes()
+
+
+def _rows_of(rows) -> pa.RecordBatch:
+    kinds = {"rep": pa.int64(), "ids": pa.list_(pa.int64()), "a": pa.binary(), "b": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+
+def _chunk(ids: np.ndarray, chunks: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.uint64(max(1, chunks))).astype(np.int64)
+
+
+def _key(family: int, x: int, y: int) -> int:
+    """A number for a pair of chunks of a family."""
+    h = (family * 0x9E3779B97F4A7C15 + x * 0xBF58476D1CE4E5B9 + y * 0x94D049BB133111EB) & ((1 << 64) - 1)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _routed(batches):
+    """Pairs of families, by pairs of chunks: (family, chunks, a, b) to (key, a, b)."""
+    for batch in batches:
+        for family, chunks, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+            x, y = _chunk(a, chunks), _chunk(b, chunks)
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            for code in np.unique(x * chunks + y).tolist():
+                own = x * chunks + y == code
+                yield pa.RecordBatch.from_arrays([pa.array([_key(family, *divmod(code, chunks))]), pa.array([a[own].tobytes()], pa.binary()), pa.array([b[own].tobytes()], pa.binary())], names=["key", "a", "b"])
+
+
+def _overlaps(lists: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlap counts of pairs of ids: as a product if they are many, else one by one."""
+    ids = np.array(sorted(lists), np.int64)
+    sets = [lists[i] for i in ids.tolist()]
+    i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
+    if len(a) > 4 * len(ids):
+        return _product(sets)[0][i, j].astype(np.int64)
+    return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
+
+
+def _pairs_of(rows, at: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(r[k] for r in rows if r[1] == 0), np.int64) for k in (at, at + 1))
+
+
+def _narrowed(percent: int):
+    """Per column: the pairs that the bound leaves over all shared columns. Rows: key, kind, id, cols, a, b, n."""
+
+    def run(batches):
+        for rows in _groups(batches, 1):
+            a, b = _pairs_of(rows, 4)
+            lists = {r[2]: np.array(r[3], np.int64) for r in rows if r[1] == 1}
+            sizes = {r[2]: r[6] for r in rows if r[1] == 1}
+            x, y = (np.array([sizes[i] for i in ids.tolist()], np.int64) for ids in (a, b))
+            reach = _overlaps(lists, a, b) + -(-percent * np.maximum(x, y) // 100) - 1
+            ok = reach * (100 + percent) >= (x + y) * percent
+            if ok.any():
+                yield _rows_of(list(_families(a[ok], b[ok])))
+
+    return run
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Links that join what others don't."""
     up: dict[int, int] = {}
@@ -288,18 +384,13 @@ def _linked(percent: int):
 
     def run(batches):
         for rows in _groups(batches, 1):
-            a = np.frombuffer(b"".join(r[3] for r in rows if r[1] == 0), np.int64)
-            b = np.frombuffer(b"".join(r[4] for r in rows if r[1] == 0), np.int64)
+            a, b = _pairs_of(rows, 3)
+            if not len(a):
+                continue
             sets = {r[2]: np.frombuffer(r[3], np.uint64) for r in rows if r[1] == 1}
-            ids = np.array(sorted(sets), np.int64)
-            lists = [sets[i] for i in ids.tolist()]
-            n = np.array([len(x) for x in lists], np.int64)
-            i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
-            if len(a) > 4 * len(ids):
-                both = _product(lists)[0][i, j].astype(np.int64)
-            else:
-                both = np.array([len(np.intersect1d(lists[x], lists[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
-            ok = 100 * both >= percent * (n[i] + n[j] - both)
+            x, y = (np.array([len(sets[i]) for i in ids.tolist()], np.int64) for ids in (a, b))
+            both = _overlaps(sets, a, b)
+            ok = 100 * both >= percent * (x + y - both)
             found = _forest(a[ok], b[ok])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
@@ -308,12 +399,20 @@ def _linked(percent: int):
 
 
 def _take_sets(size: int, salt: int):
+    """A class's whole set, once for each pair of chunks of its family that it is in."""
+
     def run(batches):
         for batch in batches:
-            want = batch.column(1).to_pylist()
+            want, family, chunks = (batch.column(k).to_pylist() for k in (1, 2, 3))
             for a, sets in _sets(batch.column(0), size):
-                at = [k for k, v in enumerate(sets) if len(v) and _name(v, salt)[0] == want[a + k]]
-                yield pa.RecordBatch.from_arrays([pa.array([want[a + k] for k in at], pa.int64()), pa.array([sets[k].tobytes() for k in at], pa.binary())], names=["id", "grams"])
+                for k, v in enumerate(sets, a):
+                    if not len(v) or _name(v, salt)[0] != want[k]:
+                        continue
+                    own = int(_chunk(np.array([want[k]], np.int64), chunks[k])[0])
+                    keys = [_key(family[k], min(own, z), max(own, z)) for z in range(chunks[k])]
+                    for i in range(0, len(keys), 16):
+                        part = keys[i : i + 16]
+                        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([want[k]] * len(part), pa.int64()), pa.array([v.tobytes()] * len(part), pa.binary())], names=["key", "id", "grams"])
 
     return run
 
@@ -328,11 +427,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows are repeated in the result. Extra columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     s = Scratch(spark, "ngram-jaccard")
     d = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"))
     top = d.select("text").mapInArrow(_common(size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(COMMON)
-    common = np.array([r["gram"] for r in top.filter("n > 2").collect()], np.int64).view(np.uint64)  # most common first, at most COMMON
-    common = common[::-1].copy()
+    common = top.filter("n > 2").select("gram").toArrow().column(0).to_numpy().view(np.uint64)[::-1].copy()  # at most COMMON, most common last
     schema = "doc_id long, tkey long, id long, second long, n long, first binary"
     for salt in range(100):  # two classes with one number have not been seen; another salt parts them
         found = s.cut(d.mapInArrow(_rows(size, percent, common, salt), schema), f"documents{salt}")
@@ -358,38 +457,43 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _links(s: Scratch, d: DataFrame, cols: DataFrame, classes: DataFrame, size: int, percent: int, salt: int, blocks: int) -> DataFrame:
     """Links (a, b) between classes, a spanning forest for each column."""
     shared = cols.groupBy("id").agg(F.sort_array(F.collect_list("col")).alias("cols"))  # no more than a row's first columns
-    shared = shared.select("id", F.slice("cols", 1, SENT).alias("cols"), F.greatest(F.lit(0), F.size("cols") - SENT).alias("more"))
-    at = cols.filter("lead").select("col", "id").join(classes.select("id", "n"), "id").join(shared, "id")
-    at = s.cut(at, "sent")
+    shared = s.cut(shared, "shared")
+    sent = shared.select("id", F.slice("cols", 1, SENT).alias("cols"), F.greatest(F.lit(0), F.size("cols") - SENT).alias("more"))
+    at = cols.filter("lead").select("col", "id").join(classes.select("id", "n"), "id")
     large = at.groupBy("col").agg(F.count("*").alias("k"), F.sum("n").alias("w")).select("col", F.ceil(F.greatest(F.col("k") / CHUNK_ROWS, F.col("w") / CHUNK_GRAMS)).cast("int").alias("chunks"))
     large = s.cut(large.filter("chunks > 1"), "large")
     mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    whole = at.join(large.select("col"), "col", "left_anti").select("col", F.lit(0).alias("side"), "id", "n", "cols", "more", F.lit(0).alias("x"), F.lit(0).alias("y"))
+    whole = at.join(large.select("col"), "col", "left_anti").select("col", F.lit(0).alias("side"), "id", "n", F.lit(0).alias("x"), F.lit(0).alias("y"))
     cut = at.join(large, "col").withColumn("side", mine).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cut = cut.select("col", "side", "id", "n", "cols", "more", F.least("side", "z").alias("x"), F.greatest("side", "z").alias("y"))
-    rows = whole.unionByName(cut).withColumn("key", F.xxhash64("col", "x", "y"))
+    cut = cut.select("col", "side", "id", "n", F.least("side", "z").alias("x"), F.greatest("side", "z").alias("y"))
+    rows = whole.unionByName(cut).join(sent, "id").withColumn("key", F.xxhash64("col", "x", "y"))
     rows = rows.select("key", F.col("col"), "side", "id", "n", "cols", "more", (F.col("x") != F.col("y")).alias("apart"), "x", "y")
     rows = rows.repartition(blocks, "key").sortWithinPartitions("key", "col", "x", "y").drop("x", "y")
-    pairs = s.cut(rows.mapInArrow(_candidates(percent), "key long, ids array<long>, a binary, b binary"), "pairs")
-    s.drop("sent", "large")
-    used = pairs.select("key", F.explode("ids").alias("id"))
-    sets = _matrix_rows(d, classes.join(used.select("id").distinct(), "id", "left_semi"), size, salt)
-    sets = s.cut(sets, "sets")
-    need = used.join(sets, "id").select("key", F.lit(1).alias("kind"), "id", F.col("grams").alias("a"), F.lit(None).cast("binary").alias("b"))
-    both = need.unionByName(pairs.select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "a", "b"))
+    blob = "key long, ids array<long>, a binary, b binary"
+    some = s.cut(rows.mapInArrow(_candidates(percent), blob), "some")
+    need = some.select("key", F.explode("ids").alias("id")).join(shared, "id").join(classes.select("id", "n"), "id")
+    need = need.select("key", F.lit(1).alias("kind"), "id", "cols", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), "n")
+    both = need.unionByName(some.select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(None).cast("array<long>").alias("cols"), "a", "b", F.lit(0).cast("long").alias("n")))
+    both = both.repartition(blocks, "key").sortWithinPartitions("key", "kind")
+    pairs = s.cut(both.mapInArrow(_narrowed(percent), "rep long, ids array<long>, a binary, b binary"), "pairs")
+    s.drop("some", "shared", "large")
+    star = pairs.select(F.col("rep").alias("a"), F.explode("ids").alias("b"))
+    family = components(star, s, "families").withColumnRenamed("comp", "family")
+    member = s.cut(classes.join(family, "id"), "members")
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK_ROWS, F.sum("n") / CHUNK_GRAMS)).cast("int")
+    member = s.cut(member.join(s.cut(member.groupBy("family").agg(chunks.alias("chunks")), "chunks"), "family"), "used")
+    mine = member.select("id", "family", "chunks", F.col("one.doc_id").alias("w_doc"), F.col("one.tkey").alias("w_key"))
+    if mine.count() <= BROADCAST_ROWS:
+        mine = F.broadcast(mine)  # at most BROADCAST_ROWS rows of some 50 bytes; beyond that a sorted join
+    mine = d.join(mine, (d.tkey == F.col("w_key")) & d.doc_id.eqNullSafe(F.col("w_doc")))
+    sets = mine.select("text", "id", "family", "chunks").mapInArrow(_take_sets(size, salt), "key long, id long, grams binary")
+    need = sets.select("key", F.lit(1).alias("kind"), "id", F.col("grams").alias("a"), F.lit(None).cast("binary").alias("b"))
+    routed = pairs.join(member.select(F.col("id").alias("rep"), "family", "chunks"), "rep").select("family", "chunks", "a", "b").mapInArrow(_routed, "key long, a binary, b binary")
+    both = need.unionByName(routed.select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "a", "b"))
     both = both.repartition(blocks, "key").sortWithinPartitions("key", "kind")
     return s.cut(both.mapInArrow(_linked(percent), "a long, b long"), "links")
 
 
-def _matrix_rows(d: DataFrame, want: DataFrame, size: int, salt: int) -> DataFrame:
-    """The whole sets of classes want(id, one), each taken from one of its documents."""
-    want = want.select("id", F.col("one.doc_id").alias("w_doc"), F.col("one.tkey").alias("w_key"))
-    if want.count() <= BROADCAST_ROWS:
-        want = F.broadcast(want)  # at most BROADCAST_ROWS rows of some 50 bytes; beyond that a sorted join
-    mine = d.join(want, (d.tkey == F.col("w_key")) & d.doc_id.eqNullSafe(F.col("w_doc")))
-    return mine.select("text", "id").mapInArrow(_take_sets(size, salt), "id long, grams binary").dropDuplicates(["id"])
-
-
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that come first in their component, with all their columns: one row of each."""
     s = Scratch(docs.sparkSession, "keep-first")
