@@ -154,11 +154,11 @@ class Plan:
 
     def analyses(self, words: DataFrame) -> DataFrame:
         """Analyses of distinct words: word, place, analysis, stem."""
-        w = words.columns[0]
-        base = F.col(w)
+        base = F.col("word")
         kind, small = kind_col(base), lower_col(base)
         own = F.when(kind == "init", F.array(small, base)).when(kind == "all", F.array(base, small, init_col(small))).otherwise(F.array(base))
-        forms = words.select(base.alias("word")).filter("word IS NOT NULL").distinct().select("word", F.posexplode(F.array_distinct(own)).alias("form_no", "form"))
+        distinct = words.select(F.col(words.columns[0]).alias("word")).filter("word IS NOT NULL").distinct()
+        forms = distinct.select("word", F.posexplode(F.array_distinct(own)).alias("form_no", "form"))
         hits = forms.join(self.derivations(forms.select("form")), "form")
         flag = lambda c: F.concat(F.lit(" fl:"), self._flag_text(F.col(c)))
         data = F.coalesce(F.concat(F.lit(" "), F.col("data")), F.lit(""))
