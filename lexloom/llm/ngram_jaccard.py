@@ -30,7 +30,7 @@ from .textkernel import doc_runs, mix, shingle_sets, utf8
 
 SIZE, PERCENT = 5, 80
 COMMON, COMMON_PER_TASK, COUNTED, ENTRIES_PER_BLOCK = 1 << 18, 1 << 15, 1 << 20, 1 << 19
-CHUNK_ROWS, CHUNK_GRAMS, SENT, VOCABULARY, STRIPE = 1024, 1 << 21, 64, 4096, 256
+CHUNK_ROWS, CHUNK_GRAMS, SENT, VOCABULARY, STRIPE = 1024, 1 << 21, 32, 4096, 256
 BROADCAST_ROWS, SEEN = 200_000, 500_000
 
 
