@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.casing import init_col, kind_col, lower_col
 from lexloom.plans.dictionary import Dictionary
+from lexloom.sources.rules import condition_regex
 
 #: Tables of at most so many rows are broadcast; longer ones are joined by sorting.
 BROADCAST_ROWS = 200_000
+#: So many pairs of a prefix and a suffix are tried in one join; more, a side at a time.
+PAIRS = 20_000
 NUMBER = "^[0-9٠-٩۰-۹]+([,.-][0-9٠-٩۰-۹]+)*$"
 
 
@@ -36,10 +39,44 @@ class Plan:
         rules = rules.join(F.broadcast(kinds), "seq") if self.n_rules <= BROADCAST_ROWS else rules.join(kinds, "seq")
         self.prefixes = rules.filter("kind = 'P'").drop("kind")
         self.suffixes = rules.filter("kind = 'S'").drop("kind")
+        self.pairs = self._pairs()
         self.most = {k: max([len(a.append) for a in d.rules.affixes if a.kind == k], default=-1) for k in "PS"}
 
     # cuts
 
+    def _pairs(self) -> DataFrame | None:
+        """Every pair of a prefix or none and a suffix or none that may stand together; None if they are too many."""
+        affixes = self.d.rules.affixes
+        pre = [a for a in affixes if a.kind == "P"]
+        suf = [a for a in affixes if a.kind == "S"]
+        if (len(pre) + 1) * (len(suf) + 1) > PAIRS:
+            return None
+        cond = lambda a: condition_regex(a.cond, a.kind) or None
+        none = (None, None, "", "", None, None)
+        p_rows = [none, *((a.seq, a.flag, a.strip, a.append, cond(a), a.morph or None) for a in pre)]
+        s_rows = [none, *((a.seq, a.flag, a.strip, a.append, cond(a), a.morph or None) for a in suf)]
+        cross = {a.seq: a.cross for a in affixes}
+        rows = [(*x, *y, (0 if y[0] is None else 3) if x[0] is None else 1 if y[0] is None else 2) for x in p_rows for y in s_rows if x[0] is None or y[0] is None or cross[x[0]] and cross[y[0]]]
+        schema = ", ".join(f"{k}_seq int, {k}_flag int, {k}_strip string, {k}_append string, {k}_cond string, {k}_rule_morph string" for k in "PS")
+        return F.broadcast(self.spark.createDataFrame(rows, schema + ", path int"))  # at most PAIRS rows
+
+    def _by_pairs(self, f: DataFrame, col: str, keep: tuple) -> DataFrame:
+        """Derivations by one join: every cut of a form at both ends meets the pair with those texts."""
+        n, word = F.length(col), F.col(col)
+        cut = f.filter(n > 0).withColumn("__i", F.explode(F.sequence(F.lit(0), F.least(F.lit(max(0, self.most["P"])), n))))
+        cut = cut.withColumn("__j", F.explode(F.sequence(F.lit(0), F.least(F.lit(max(0, self.most["S"])), n - F.col("__i")))))
+        i, j = F.col("__i"), F.col("__j")
+        cut = cut.select(col, *keep, F.substring(word, F.lit(1), i).alias("__p"), F.substring(word, i + 1, n - i - j).alias("__m"), F.substring(word, n - j + 1, j).alias("__s"))
+        hit = cut.join(self.pairs, (F.col("__p") == F.col("P_append")) & (F.col("__s") == F.col("S_append")))
+        inner = F.concat("P_strip", "__m")
+        hit = hit.filter((F.length(inner) > 0) & (F.length(F.concat("__m", "__s")) > 0))
+        hit = hit.filter(F.col("P_cond").isNull() | F.rlike(F.concat(inner, F.col("__s")), F.col("P_cond")))
+        hit = hit.withColumn("__stem", F.concat(inner, F.col("S_strip"))).filter(F.col("S_cond").isNull() | F.rlike(F.col("__stem"), F.col("S_cond")))
+        hit = hit.join(self.lexicon, F.col("__stem") == F.col("stem"))
+        has = lambda k: F.col(f"{k}_flag").isNull() | F.array_contains("own", F.col(f"{k}_flag"))
+        names = [col, *keep, "path", "stem", "entry_no", "data", "P_seq", "P_flag", "P_rule_morph", "S_seq", "S_flag", "S_rule_morph"]
+        return hit.filter(has("P") & has("S")).select(*names)
+
     def _cut(self, df: DataFrame, kind: str, text: str, out: str) -> DataFrame:
         """df with each rule of a kind whose text is at that end of a column, and the word without it in `out`."""
         rules = (self.prefixes if kind == "P" else self.suffixes).select(*[F.col(c).alias(f"{kind}_{c}") for c in ("seq", "flag", "strip", "append", "cond", "cross", "rule_morph")])
@@ -54,12 +91,14 @@ class Plan:
         hit = hit.withColumn(out, base)
         return hit.filter(F.col(f"{kind}_cond").isNull() | F.rlike(F.col(out), F.col(f"{kind}_cond"))).drop("__k", "__piece", f"{kind}_cond", f"{kind}_strip", f"{kind}_append")
 
-    def derivations(self, forms: DataFrame, col: str = "form") -> DataFrame:
+    def derivations(self, forms: DataFrame, col: str = "form", keep: tuple = ()) -> DataFrame:
         """All ways from entries to forms: col, path (0 listed, 1 prefix, 2 prefix and suffix, 3 suffix), stem, entry_no,
-        data, the rules' numbers, flags and morphology."""
-        f = forms.select(col).distinct()
+        data, the rules' numbers, flags and morphology. Forms are taken once each, or with columns to keep as they come."""
+        f = forms.select(col, *keep) if keep else forms.select(col).distinct()
+        if self.pairs is not None:
+            return self._by_pairs(f, col, keep)
         empty = {"P_seq": "int", "P_flag": "int", "P_rule_morph": "string", "S_seq": "int", "S_flag": "int", "S_rule_morph": "string"}
-        names = [col, "path", "stem", "entry_no", "data", *empty]
+        names = [col, *keep, "path", "stem", "entry_no", "data", *empty]
 
         def shaped(df: DataFrame, path: int) -> DataFrame:
             return df.withColumn("path", F.lit(path)).select(*[c if c in df.columns or c == "path" else F.lit(None).cast(empty[c]).alias(c) for c in names])
@@ -96,17 +135,17 @@ class Plan:
         """Distinct words of a one-column DataFrame: word, correct, root (of affixed words), path."""
         forms = self.forms(words)
         trivial = (F.col("bare") == "") | F.col("bare").rlike(NUMBER)
-        hits = forms.join(self.derivations(forms.select("form")), "form")
         order = F.struct("place", "path", "entry_no")
-        best = hits.groupBy("word").agg(F.min_by(F.struct("path", F.when(F.col("path") > 0, F.col("stem")).otherwise("").alias("root")), order).alias("best"))
-        every = forms.groupBy("word").agg(F.max(trivial).alias("trivial"))
-        joined = every.join(best, "word", "left")
+        best = F.struct("path", F.when(F.col("path") > 0, F.col("stem")).otherwise("").alias("root"))
+        hits = self.derivations(forms, keep=("word", "place")).select("word", F.lit(False).alias("trivial"), order.alias("order"), best.alias("best"))
+        none = {c: F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in ("order", "best")}
+        every = forms.filter("place = 0").select("word", trivial.alias("trivial"), none["order"], none["best"]).unionByName(hits)
+        joined = every.groupBy("word").agg(F.max("trivial").alias("trivial"), F.min_by("best", "order").alias("best"))
         long_ = F.octet_length("word") >= (300 if self.d.encoding == "utf-8" else 100)
-        out = joined.select(
+        return joined.select(
             "word", ((F.col("trivial") | F.col("best").isNotNull()) & ~long_).alias("correct"),
             F.when(F.col("trivial") | long_, "").otherwise(F.coalesce("best.root", F.lit(""))).alias("root"), F.col("best.path").alias("path"),
         )
-        return out
 
     def broken(self, wrong: DataFrame, breaks: list[str] | None = None, rounds: int = 10) -> DataFrame:
         """Words that are right in pieces at their break strings: splits are exploded, pieces checked, both sides needed.
@@ -159,7 +198,7 @@ class Plan:
         own = F.when(kind == "init", F.array(small, base)).when(kind == "all", F.array(base, small, init_col(small))).otherwise(F.array(base))
         distinct = words.select(F.col(words.columns[0]).alias("word")).filter("word IS NOT NULL").distinct()
         forms = distinct.select("word", F.posexplode(F.array_distinct(own)).alias("form_no", "form"))
-        hits = forms.join(self.derivations(forms.select("form")), "form")
+        hits = self.derivations(forms, keep=("word", "form_no"))
         flag = lambda c: F.concat(F.lit(" fl:"), self._flag_text(F.col(c)))
         data = F.coalesce(F.concat(F.lit(" "), F.col("data")), F.lit(""))
         stem = F.when(F.coalesce(F.contains(F.col("data"), F.lit("st:")), F.lit(False)), "").otherwise(F.concat(F.lit(" st:"), F.col("stem")))
@@ -206,7 +245,7 @@ class Plan:
 def check(words: DataFrame, d: Dictionary) -> DataFrame:
     """Verdicts on the distinct words of a one-column DataFrame: word, correct, root.
 
-    Joins decide if the dictionary's rules are simple, with the engine for wrong words that have a break string in them;
+    Joins decide if the dictionary's rules are simple, and the engine for the words that have a break character in them;
     for other dictionaries the engine decides all.
     """
     from lexloom.operators.frames import ask
@@ -215,9 +254,8 @@ def check(words: DataFrame, d: Dictionary) -> DataFrame:
     words = words.select(F.col(col).alias("word"))
     if not d.has_simple_rules:
         return ask(words, d, "check").select("word", "correct", "root")
-    plan = Plan(spark, d)
-    first = plan.check(words)
-    marks = [b.strip("^$") for b in d.engine.breaks if b.strip("^$")]
-    open_ = ~F.col("correct") & (F.length(F.translate("word", "".join(sorted(set("".join(marks)))), "")) < F.length("word")) if marks else F.lit(False)
-    settled = first.filter(~open_).select("word", "correct", "root")
-    return settled.unionByName(ask(first.filter(open_).select("word"), d, "check").select("word", "correct", "root"))
+    marks = sorted({c for b in d.engine.breaks for c in b.strip("^$")})
+    words = words.filter("word IS NOT NULL").distinct()
+    split = F.length(F.translate("word", "".join(marks), "")) < F.length("word") if marks else F.lit(False)
+    plain = Plan(spark, d).check(words.filter(~split)).select("word", "correct", "root")
+    return plain.unionByName(ask(words.filter(split), d, "check").select("word", "correct", "root")) if marks else plain
