@@ -129,3 +129,23 @@ def pipe_lines(wrong: DataFrame, checked: DataFrame, id_col: str) -> DataFrame:
     n = F.size("s")
     line = F.when(n > 0, F.concat(F.lit("& "), F.col("word"), F.lit(" "), n, F.lit(" "), F.col("column"), F.lit(": "), F.array_join("s", ", "))).otherwise(F.concat(F.lit("# "), F.col("word"), F.lit(" "), F.col("column")))
     return ok.unionByName(bad.select("word", line.alias("answer")))
+
+
+def from_lines(lines: DataFrame, id_col: str, line_col: str, text_col: str) -> DataFrame:
+    """Documents from their lines, as markup goes over line ends: id, text. One row per line; numbers set the order."""
+    rows = lines.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(F.col(line_col).alias("n"), F.coalesce(F.col(text_col), F.lit("")).alias("t")))).alias("l"))
+    return rows.select(id_col, F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
+
+
+def first_word_lines(docs: DataFrame, wrong: DataFrame, id_col: str, text_col: str, fmt: str = "text", wordchars: str = "", good: bool = False) -> DataFrame:
+    """Lines whose first word is wrong (or, with good, right): id, line, text."""
+    first = tokens(docs, id_col, text_col, fmt, wordchars).groupBy(id_col, "line").agg(F.min("column").alias("column"))
+    bad = wrong.select(id_col, "line", "column").distinct()
+    chosen = first.join(bad, [id_col, "line", "column"], "left_anti" if good else "left_semi").select(id_col, "line")
+    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("n", "text")).select(id_col, (F.col("n") + 1).alias("line"), "text")
+    return lines.join(chosen, [id_col, "line"], "left_semi")
+
+
+def save_personal(words: DataFrame, path: str) -> None:
+    """Append words to a personal dictionary folder, one a line."""
+    words.select(F.col(words.columns[0]).cast("string")).dropna().distinct().write.mode("append").text(path)
