@@ -20,6 +20,7 @@ import heapq
 import re
 import zlib
 from array import array
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +74,8 @@ class Lattice:
 
     def best(self, part: str) -> tuple[bytes, float, float]:
         """Viterbi: ids and score of the best path, and how much less the second best has."""
-        n, low = len(part), float("-inf")
-        one, two, back = [0.0] + [low] * n, [low] * (n + 1), [None] * (n + 1)
+        n = len(part)
+        one, two, back = [0.0] + [-inf] * n, [-inf] * (n + 1), [None] * (n + 1)
         get, byte = self.table.get, self.byte
         for i in range(n):
             a, b = one[i], two[i]
@@ -194,7 +195,13 @@ class Lattice:
             best, total = [x[0] for x in found], sum([x[1] for x in found])
             result = [(0.0, ())]
             if n > 1:
-                for loss, at in heapq.nsmallest(n - 1, [(x[2], k) for k, x in enumerate(found) if x[2] != float("inf")]):
+                losses = [x[2] for x in found]
+                for _ in range(min(n - 1, len(losses))):  # the parts that lose least by their second best, the first of equals
+                    least = min(losses)
+                    if least == inf:
+                        break
+                    at = losses.index(least)
+                    losses[at] = inf
                     own = found[at][1]
                     others = [(own - s, ids) for s, ids in self.n_best(self.marked(keys[at]), n + 1) if ids != best[at]][: n - 1]
                     more = [(a + b, (*c, (at, ids))) for a, c in result for b, ids in others]
