@@ -100,6 +100,11 @@ class ShardStore:
         before = F.sum("bytes").over(order) - F.col("bytes")
         return small.join(F.broadcast(full), "tier").withColumn("out", F.floor(before / self.target).cast("int"))  # one row
 
+    def _slots(self, n: int) -> DataFrame:
+        """For each of n partitions a key that Spark's hash partitioning puts there, so that no two groups share a task."""
+        ids = self.spark.range(20 * n + 20).select(F.col("id").cast("int").alias("__key"))
+        return ids.groupBy(F.pmod(F.hash("__key"), F.lit(n)).alias("__slot")).agg(F.min("__key").alias("__key"))
+
     def compact(self, least: int | None = None, keep: int = 1) -> int:
         """Merge tier by tier until no tier has `least` shards (fanout if not given, 2 at least); returns the version."""
         while True:
@@ -111,9 +116,11 @@ class ShardStore:
             folder = f"{self.path}/shards/{uuid.uuid4().hex}"
             n = len({r.out for r in chosen})
             rows = self._files([r.path for r in chosen]).withColumn("__path", F.col("_metadata.file_path"))
-            dealt = rows.join(groups.withColumnRenamed("out", "__out"), F.col("__path") == F.col("path")) if "path" not in self.schema.names else rows.join(groups.withColumnsRenamed({"path": "__p", "out": "__out"}), F.col("__path") == F.col("__p"))
+            groups_ = groups.join(self._slots(n), F.col("out") == F.col("__slot")).select(F.col("path").alias("__from"), F.col("out").alias("__out"), "__key")
+            dealt = rows.join(groups_, F.col("__path") == F.col("__from"))
             names = [f"`{f.name}`" for f in self.schema.fields]
-            dealt.select(*names, "__out").repartition(n, "__out").write.option("compression", "zstd").partitionBy("__out").parquet(folder)
+            dealt = dealt.select(*names, "__out", "__key").repartition(n, "__key").drop("__key")
+            dealt.write.option("compression", "zstd").partitionBy("__out").parquet(folder)
             rest = self.manifest(v).join(groups.select("path"), "path", "left_anti")
             self._commit(v, rest.unionByName(self._written(folder)))
             self.vacuum(keep)
