@@ -107,8 +107,8 @@ def close_words(wrong: DataFrame, lists: DataFrame, most: int | None = None) ->
     """Allowed list words near wrong words: within 1, 2 or 3 steps for words of up to 4, up to 8 or more characters, the
     nearest first. One column of words in; word, suggestion, distance, place out.
 
-    Candidates meet by a letter they share: words within k steps keep all but k of their letters, so of the k+1 pieces
-    that a word is cut into one occurs in the other whole, or, where pieces are single letters, by length alone.
+    Words and list words meet by each length within reach; a list is a table of people's own words, not a corpus. The plain
+    edit distance, of which one exchange of neighbours takes two steps, drops most pairs before the exact one is folded.
     """
     from lexloom.functions.similar import osa_col
     from pyspark.sql import Window
