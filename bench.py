@@ -20,7 +20,7 @@ def engine_rates() -> dict[str, float]:
     good = [f for w in e.listed() for f in e.expand(w)]
     wrong = [w + "x" for w in good]
     out = {}
-    for name, fn, words in (("spell_right", e.spell, good), ("spell_wrong", e.spell, wrong), ("analyze", e.analyze, good), ("stem", e.stem, good), ("suggest", e.suggest, wrong[:60])):
+    for name, fn, words in (("spell_listed", e.spell, e.listed()), ("spell_affixed", e.spell, [w for w in good if not e.has_word(w)]), ("spell_wrong", e.spell, wrong), ("analyze", e.analyze, good), ("stem", e.stem, good), ("suggest", e.suggest, wrong[:60])):
         began, n = time.perf_counter(), 0
         while time.perf_counter() - began < 0.4:
             for w in words:

@@ -57,7 +57,7 @@ class Case:
 
     def kind(self, s: str) -> int:
         """NONE, INIT, ALL, MIXED or MIXED_INIT; characters without case go with either."""
-        if not s:
+        if not s or s.islower():
             return NONE
         caps = sum(1 for c in s if c in self._l)
         if not caps:

@@ -34,6 +34,9 @@ class Result:
     root: str = ""
 
 
+_LISTED = Result(True)
+
+
 @dataclass(frozen=True)
 class Hit:
     """How a word comes from an entry: prefix, outer suffix and inner suffix, each None if absent."""
@@ -130,6 +133,7 @@ class Engine:
         for kind, *args in changes:
             getattr(self, f"_change_{kind}")(*args)
         self._index()
+        self._right = self._listed_right()
 
     # lexicon
 
@@ -169,8 +173,28 @@ class Engine:
             self._by_flag.setdefault(a.flag, []).insert(0, item)
             conts |= a.cont
         self._conts = conts
-        self._max_prefix = max(map(len, self._prefixes), default=0)
-        self._max_suffix = max(map(len, self._suffixes), default=0)
+        self._prefix_sizes = sorted({len(a) for a in self._prefixes})
+        self._suffix_sizes = sorted({len(a) for a in self._suffixes})
+
+    def _listed_right(self) -> frozenset:
+        """Words that are right because they are listed, whatever else the rules say; none where words are changed first."""
+        if self.iconv.table or self.ignore or self.rtl:
+            return frozenset()
+        plain, hidden, out = _State(), _State(), set()
+        hidden.init_query = True
+        for word, rows in self.words.items():
+            if len(word) > 60 or word[0] == " " or word[-1] == ".":
+                continue
+            st = hidden if self.case.kind(word) == INIT else plain
+            for dic in sorted({e.dic for e in rows}):
+                own = [e for e in rows if e.dic == dic]
+                found = next((e for e in own if not self._skipped(e, st)), None)
+                if self.forbidden_flag in own[0].flags or found and self.warn and self.warn in found.flags:
+                    break
+                if found:
+                    out.add(word)
+                    break
+        return frozenset(out)
 
     def entries(self, word: str) -> list[Entry]:
         """All homonyms of a word in the first lexicon that has it."""
@@ -209,11 +233,15 @@ class Engine:
     # affixes
 
     def _prefix_rules(self, word: str):
-        for n in range(0, min(self._max_prefix, len(word)) + 1):
+        for n in self._prefix_sizes:
+            if n > len(word):
+                return
             yield from self._prefixes.get(word[:n], ())
 
     def _suffix_rules(self, word: str):
-        for n in range(0, min(self._max_suffix, len(word)) + 1):
+        for n in self._suffix_sizes:
+            if n > len(word):
+                return
             yield from self._suffixes.get(word[len(word) - n :], ())
 
     def _before(self, word: str, item) -> str | None:
@@ -657,12 +685,16 @@ class Engine:
         return bare, len(word) - len(bare)
 
     def too_long(self, word: str) -> bool:
+        if len(word) < 75:  # at most four bytes a character
+            return False
         if self.rules.charset == "utf-8":
             return len(word.encode("utf-8", "surrogatepass")) >= MAX_BYTES
         return len(word) >= MAX_BYTES_8BIT
 
     def writable(self, word: str) -> bool:
         """Whether the dictionary's character set has all characters of the word."""
+        if word.isascii():
+            return True
         try:
             word.encode(self.rules.charset)
         except UnicodeEncodeError:
@@ -670,6 +702,8 @@ class Engine:
         return True
 
     def check(self, word: str) -> Result:
+        if word in self._right:
+            return _LISTED
         if not self.writable(word):
             return Result(False)
         st = _State()
@@ -677,7 +711,7 @@ class Engine:
         return Result(ok, st.compound, st.forbidden, st.warn, self.oconv(st.root) if ok and st.root else "")
 
     def spell(self, word: str) -> bool:
-        return self.writable(word) and self._check(word, _State(), ())
+        return word in self._right or self.writable(word) and self._check(word, _State(), ())
 
     def _keep(self, e: Entry | None) -> bool:
         return bool(e and self.keepcase and self.keepcase in e.flags)
@@ -691,7 +725,7 @@ class Engine:
         if given != word and self.too_long(given):
             return False
         w, dots = self.clean(given)
-        if not w or _NUMBER.fullmatch(w):
+        if not w or not w[0].isalpha() and _NUMBER.fullmatch(w):
             return True
         e, w = self._by_case(w, dots, st)
         if e is not None:

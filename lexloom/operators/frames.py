@@ -44,8 +44,8 @@ def ask(words: DataFrame, d: Dictionary, what: str, partitions: int | None = Non
     spark, col = words.sparkSession, words.columns[0]
     fields = [tuple(f.strip().split(" ", 1)) for f in schema.split(",")]
     distinct = words.filter(F.col(col).isNotNull()).distinct()
-    if partitions:
-        distinct = distinct.repartition(partitions, col)
+    # A few MB of words can be hours of work: a fixed number of tasks, which adaptive execution doesn't merge.
+    distinct = distinct.repartition(partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), col)
     payload = spark.sparkContext.broadcast(d.payload)  # a dictionary: some MB, whatever the input
     return distinct.mapInArrow(_kernel(d.version, payload, fn, fields, 1), f"`{col}` string, {schema}")
 
