@@ -55,6 +55,20 @@ def with_answers(df: DataFrame, col: str, d: Dictionary, what: str) -> DataFrame
     return df.join(ask(df.select(col), d, what), col, "left")
 
 
+def check_any(words: DataFrame, dictionaries: list[Dictionary]) -> DataFrame:
+    """Words under several dictionaries: the column, correct in any, and the number of the first that has it (null: none)."""
+    col = words.columns[0]
+    open_, parts = words.select(col), []
+    for k, d in enumerate(dictionaries):
+        found = ask(open_, d, "check").select(col, "correct")
+        parts.append(found.filter("correct").select(col, F.lit(True).alias("correct"), F.lit(k).alias("dictionary")))
+        open_ = found.filter("NOT correct").select(col)
+    out = open_.select(col, F.lit(False).alias("correct"), F.lit(None).cast("int").alias("dictionary"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def generate(pairs: DataFrame, d: Dictionary) -> DataFrame:
     """Forms of words like examples: pairs(word, example) with a column forms."""
     word, example = pairs.columns[:2]

@@ -185,6 +185,34 @@ def edit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("candidate <> word").join(known, "candidate", "left_semi").select("word", "kind", "candidate")
 
 
+def rep_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right words that a replacement rule makes of wrong ones, at any place where its pattern stands."""
+    wrong, w = _wrong_of_benchmark(spark, sf_dir), F.col("word")
+    rules = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(mini.REPLACEMENTS)], "seq int, pattern string, out string")
+    hit = wrong.join(F.broadcast(rules), F.contains("word", "pattern"))  # a dictionary's few rules
+    n, m = F.length("word"), F.length("pattern")
+    hit = hit.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(n - m + 1, F.lit(1))))).filter(F.substring(w, F.col("i"), m) == F.col("pattern"))
+    made = hit.select("word", "pattern", F.concat(F.substring(w, F.lit(1), F.col("i") - 1), F.col("out"), F.substring(w, F.col("i") + m, n)).alias("candidate"))
+    known = Plan(spark, mini.dictionary()).expand().select(F.col("form").alias("candidate")).distinct()
+    return made.join(known, "candidate", "left_semi").select("word", "pattern", "candidate").distinct()
+
+
+def word_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrong words that are two right ones written together."""
+    wrong, w, n = _wrong_of_benchmark(spark, sf_dir).filter("length(word) >= 3"), F.col("word"), F.length("word")
+    cut = wrong.withColumn("i", F.explode(F.sequence(F.lit(1), n - 1)))
+    cut = cut.select("word", F.substring(w, F.lit(1), F.col("i")).alias("a"), F.substring(w, F.col("i") + 1, n).alias("b"))
+    known = Plan(spark, mini.dictionary()).expand().select("form").distinct()
+    both = cut.join(known.withColumnRenamed("form", "a"), "a", "left_semi").join(known.withColumnRenamed("form", "b"), "b", "left_semi")
+    return both.select("word", F.concat_ws(" ", "a", "b").alias("candidate"))
+
+
+def answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, d = _table(spark, sf_dir, "benchmark"), mini.dictionary()
+    wrong = texts.misspellings(docs, d, "item_id", "text", suggest=True)
+    return texts.pipe_lines(wrong, frames.ask(_tokens(docs, "item_id").select("word"), d, "check"), "item_id")
+
+
 def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of listed words whose length is within 4 of a wrong word's, by joining on each such length."""
     wrong = _wrong_of_benchmark(spark, sf_dir).withColumn("n", F.explode(F.sequence(F.length("word") - 4, F.length("word") + 4)))
@@ -241,7 +269,7 @@ def stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = [
     tokens_per_doc, token_places, case_kinds, number_words, spell_words, spell_misspelled_per_doc, spell_by_lang, wrong_words_in_order, bad_lines,
     broken_words, has_word, word_count, overlay_verdicts, compound_splits, expand_forms, derivations, analyses, stems, stems_by_engine, suffix_forms,
-    generated_forms, edit_candidates, ngram_scores, close_list_words, suggestions, check_texts, check_pages, corrected_texts, stream_check,
+    generated_forms, edit_candidates, rep_candidates, word_splits, ngram_scores, answer_lines, close_list_words, suggestions, check_texts, check_pages, corrected_texts, stream_check,
 ]
 
 
@@ -290,6 +318,11 @@ def oracle_sql() -> dict[str, str]:
             UNION SELECT word, 'forgotten', left(word, i) || c || substr(word, i + 1) FROM (SELECT word, unnest(range(0, length(word) + 1))::INT AS i FROM bad), {letters}
             UNION SELECT word, 'wrong', left(word, i - 1) || c || substr(word, i + 1) FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM bad), {letters})
             SELECT DISTINCT word, kind, candidate FROM edits WHERE candidate <> word AND candidate IN (SELECT form FROM known)""",
+        "rep_candidates": f"""{wrong}, rep(pattern, out) AS (VALUES {mini._rows(mini.REPLACEMENTS)}), made AS (SELECT word, pattern, left(word, i - 1) || out || substr(word, i + length(pattern)) AS candidate
+            FROM (SELECT word, pattern, out, unnest(range(1, length(word) + 1))::INT AS i FROM bad, rep) WHERE substr(word, i, length(pattern)) = pattern) SELECT DISTINCT word, pattern, candidate FROM made WHERE candidate IN (SELECT form FROM known)""",
+        "word_splits": f"""{wrong}, cuts AS (SELECT word, left(word, i) AS a, substr(word, i + 1) AS b FROM (SELECT word, unnest(range(1, length(word)))::INT AS i FROM bad WHERE length(word) >= 3)) SELECT word, a || ' ' || b AS candidate FROM cuts WHERE a IN (SELECT form FROM known) AND b IN (SELECT form FROM known)""",
+        "suffix_forms": f"""WITH {docs}, {forms}, first AS (SELECT * FROM lexicon WHERE no IN (SELECT min(no) FROM lexicon GROUP BY word)) SELECT l.word, l.word || r.app AS form FROM first l JOIN rules r ON r.kind = 'S' AND contains(l.flags, r.flag)
+            WHERE l.word IN (SELECT word FROM tokens) AND EXISTS (SELECT 1 FROM lexicon b WHERE b.word = l.word || r.strip AND contains(b.flags, r.flag) AND regexp_matches(b.word, r.cond))""",
         "ngram_scores": f"""{wrong}, pairs AS (SELECT b.word, l.word AS root, lower(l.word) AS low FROM bad b JOIN (SELECT DISTINCT word FROM lexicon) l ON abs(length(l.word) - length(b.word)) <= 4),
             counts AS (SELECT word, root, low, {hits(1)} AS a, {hits(2)} AS b, {hits(3)} AS c FROM pairs)
             SELECT word, root, score FROM (SELECT word, root, (a + CASE WHEN a >= 2 THEN b + CASE WHEN b >= 2 THEN c ELSE 0 END ELSE 0 END - greatest(length(root) - length(word) - 2, 0))::BIGINT AS score FROM counts) WHERE score > 3""",

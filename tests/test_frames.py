@@ -72,6 +72,12 @@ def test_answers_and_nulls(spark):
     assert {r.w: r.forms for r in frames.ask(df.select("w").filter("id = 1"), d, "expand").collect()} == {"foobar": []}
 
 
+def test_several_dictionaries(spark):
+    a, b = (Dictionary.parse("SET UTF-8\n", f"1\n{w}\n") for w in ("one", "two"))
+    df = spark.createDataFrame([("one",), ("two",), ("six",), (None,)], "w string")
+    assert {r.w: (r.correct, r.dictionary) for r in frames.check_any(df, [a, b]).collect()} == {"one": (True, 0), "two": (True, 1), "six": (False, None)}
+
+
 def test_case_columns(spark):
     words = ["word", "Word", "WORD", "wOrd", "WoRd", "", "été", "ÉTÉ", "ß", "123", "İx", "I"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
