@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .scratch import small_batches
 from .tokenizing import runs
 
-SPACE, N_BEST, MOST_PARTS = "▁", 3, 400_000
+SPACE, N_BEST, MOST_PARTS = "▁", 3, 700_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _RUN = re.compile(r" +[^ ]*")
 _OPEN: dict[str, "Lattice"] = {}
