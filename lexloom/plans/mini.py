@@ -81,7 +81,7 @@ WORD_RX = r"[\p{L}\p{M}]+"
 _UPPER = "[A-ZÀ-ÖØ-ÞŒŸ]"
 SQL_KIND = f"""CASE WHEN NOT regexp_matches(word, '{_UPPER}') THEN 'none'
   WHEN regexp_matches(word, '^{_UPPER}') AND NOT regexp_matches(substr(word, 2), '{_UPPER}') THEN 'init'
-  WHEN regexp_full_match(word, '{_UPPER}+') THEN 'all' WHEN regexp_matches(word, '^{_UPPER}') THEN 'mixed_init' ELSE 'mixed' END"""
+  WHEN regexp_full_match(word, '({_UPPER}|ß)+') THEN 'all' WHEN regexp_matches(word, '^{_UPPER}') THEN 'mixed_init' ELSE 'mixed' END"""
 
 
 def sql_tokens(table: str, key: str) -> str:
