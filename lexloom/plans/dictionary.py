@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import os
 import pickle
@@ -58,9 +59,10 @@ class Dictionary:
         """With a further lexicon under the same rules; earlier ones win where both have a word."""
         dic = dic.encode() if isinstance(dic, str) else dic
         n = max((e.dic for e in self.entries), default=-1) + 1
-        more = parse_lexicon(dic, self.rules, n, len(self.entries))
-        self.rules.options[f"_count{n}"] = max(1, number(read_lines(dic, self.rules.charset)[0]))
-        return Dictionary(self.rules, (*self.entries, *more), self.changes, self.messages)
+        rules = copy.deepcopy(self.rules)
+        more = parse_lexicon(dic, rules, n, len(self.entries))
+        rules.options[f"_count{n}"] = max(1, number(read_lines(dic, rules.charset)[0]))
+        return Dictionary(rules, (*self.entries, *more), self.changes, self.messages)
 
     # changes
 

@@ -31,9 +31,10 @@ class Plan:
 
     def __init__(self, spark: SparkSession, d: Dictionary):
         self.spark, self.d = spark, d
-        lex = d.lexicon(spark).filter("NOT hidden")
-        self.n_words, self.n_rules = len(d.entries), len(d.rules.affixes)
-        self.lexicon = _small(lex.select(F.col("word").alias("stem"), F.col("flags").alias("own"), "entry_no", F.col("morph").alias("data")), self.n_words)
+        lex = d.lexicon(spark).select(F.col("word").alias("stem"), F.col("flags").alias("own"), "entry_no", F.col("morph").alias("data"), "hidden")
+        self.n_words, self.n_rules = len(d.engine.order), len(d.rules.affixes)
+        self.every = _small(lex, self.n_words)  # with the capitalised rows that only stand for words in capitals
+        self.lexicon = _small(lex.filter("NOT hidden").drop("hidden"), self.n_words)
         rules = d.affixes(spark).select("seq", "flag", "strip", "append", "cond", "cross", F.col("morph").alias("rule_morph"))
         kinds = d.affixes(spark).select("seq", "kind")
         rules = rules.join(F.broadcast(kinds), "seq") if self.n_rules <= BROADCAST_ROWS else rules.join(kinds, "seq")
@@ -72,9 +73,9 @@ class Plan:
         hit = hit.filter((F.length(inner) > 0) & (F.length(F.concat("__m", "__s")) > 0))
         hit = hit.filter(F.col("P_cond").isNull() | F.rlike(F.concat(inner, F.col("__s")), F.col("P_cond")))
         hit = hit.withColumn("__stem", F.concat(inner, F.col("S_strip"))).filter(F.col("S_cond").isNull() | F.rlike(F.col("__stem"), F.col("S_cond")))
-        hit = hit.join(self.lexicon, F.col("__stem") == F.col("stem"))
+        hit = hit.join(self.every, F.col("__stem") == F.col("stem"))
         has = lambda k: F.col(f"{k}_flag").isNull() | F.array_contains("own", F.col(f"{k}_flag"))
-        names = [col, *keep, "path", "stem", "entry_no", "data", "P_seq", "P_flag", "P_rule_morph", "S_seq", "S_flag", "S_rule_morph"]
+        names = [col, *keep, "path", "stem", "entry_no", "data", "hidden", "P_seq", "P_flag", "P_rule_morph", "S_seq", "S_flag", "S_rule_morph"]
         return hit.filter(has("P") & has("S")).select(*names)
 
     def _cut(self, df: DataFrame, kind: str, text: str, out: str) -> DataFrame:
@@ -97,23 +98,24 @@ class Plan:
         f = forms.select(col, *keep) if keep else forms.select(col).distinct()
         if self.pairs is not None:
             return self._by_pairs(f, col, keep)
+        lexicon = self.every
         empty = {"P_seq": "int", "P_flag": "int", "P_rule_morph": "string", "S_seq": "int", "S_flag": "int", "S_rule_morph": "string"}
-        names = [col, *keep, "path", "stem", "entry_no", "data", *empty]
+        names = [col, *keep, "path", "stem", "entry_no", "data", "hidden", *empty]
 
         def shaped(df: DataFrame, path: int) -> DataFrame:
             return df.withColumn("path", F.lit(path)).select(*[c if c in df.columns or c == "path" else F.lit(None).cast(empty[c]).alias(c) for c in names])
 
-        parts = [shaped(f.join(self.lexicon, F.col(col) == F.col("stem")), 0)]
+        parts = [shaped(f.join(lexicon, F.col(col) == F.col("stem")), 0)]
         if self.most["P"] >= 0:
             pre = self._cut(f, "P", col, "base")
-            parts.append(shaped(pre.join(self.lexicon, F.col("base") == F.col("stem")).filter(F.array_contains("own", F.col("P_flag"))), 1))
+            parts.append(shaped(pre.join(lexicon, F.col("base") == F.col("stem")).filter(F.array_contains("own", F.col("P_flag"))), 1))
             if self.most["S"] >= 0:
                 both = self._cut(pre.filter("P_cross"), "S", "base", "base2").filter("S_cross")
-                both = both.join(self.lexicon, F.col("base2") == F.col("stem")).filter(F.array_contains("own", F.col("P_flag")) & F.array_contains("own", F.col("S_flag")))
+                both = both.join(lexicon, F.col("base2") == F.col("stem")).filter(F.array_contains("own", F.col("P_flag")) & F.array_contains("own", F.col("S_flag")))
                 parts.append(shaped(both, 2))
         if self.most["S"] >= 0:
             suf = self._cut(f, "S", col, "base")
-            parts.append(shaped(suf.join(self.lexicon, F.col("base") == F.col("stem")).filter(F.array_contains("own", F.col("S_flag"))), 3))
+            parts.append(shaped(suf.join(lexicon, F.col("base") == F.col("stem")).filter(F.array_contains("own", F.col("S_flag"))), 3))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -122,14 +124,15 @@ class Plan:
     # checking
 
     def forms(self, words: DataFrame) -> DataFrame:
-        """Words with the forms that their case allows, in order: word, form, place."""
+        """Words with the forms that their case allows, in order: word, without dots, whether only its first letter is a capital,
+        form, place."""
         w = words.columns[0]
         bare = F.regexp_replace(F.ltrim(F.col(w)), r"\.+$", "")
         dots = F.length(F.ltrim(F.col(w))) > F.length(bare)
         kind, small = kind_col(bare), lower_col(bare)
         own = F.when(kind == "init", F.array(bare, small)).when(kind == "all", F.array(bare, init_col(small), small)).when(kind == "mixed_init", F.array(bare, F.concat(lower_col(F.substring(bare, 1, 1)), F.substring(bare, 2, 2**31 - 1)))).otherwise(F.array(bare))
         both = F.when(dots, F.concat(own, F.transform(own, lambda x: F.concat(x, F.lit("."))))).otherwise(own)
-        return words.select(F.col(w).alias("word")).filter("word IS NOT NULL").distinct().select("word", bare.alias("bare"), F.posexplode(F.array_distinct(both)).alias("place", "form"))
+        return words.select(F.col(w).alias("word")).filter("word IS NOT NULL").distinct().select("word", bare.alias("bare"), (kind == "init").alias("init"), F.posexplode(F.array_distinct(both)).alias("place", "form"))
 
     def check(self, words: DataFrame) -> DataFrame:
         """Distinct words of a one-column DataFrame: word, correct, root (of affixed words), path."""
@@ -137,7 +140,7 @@ class Plan:
         trivial = (F.col("bare") == "") | F.col("bare").rlike(NUMBER)
         order = F.struct("place", "path", "entry_no")
         best = F.struct("path", F.when(F.col("path") > 0, F.col("stem")).otherwise("").alias("root"))
-        hits = self.derivations(forms, keep=("word", "place")).select("word", F.lit(False).alias("trivial"), order.alias("order"), best.alias("best"))
+        hits = self.derivations(forms, keep=("word", "place", "init")).filter("NOT (hidden AND init)").select("word", F.lit(False).alias("trivial"), order.alias("order"), best.alias("best"))
         none = {c: F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in ("order", "best")}
         every = forms.filter("place = 0").select("word", trivial.alias("trivial"), none["order"], none["best"]).unionByName(hits)
         joined = every.groupBy("word").agg(F.max("trivial").alias("trivial"), F.min_by("best", "order").alias("best"))

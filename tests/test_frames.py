@@ -44,6 +44,16 @@ def test_joins_say_what_the_engine_says(spark):
     assert {w: got[w][0] for w in words} == {w: want[w].correct for w in words}
 
 
+def test_hidden_capitals_by_joins(spark):
+    d = Dictionary.parse("SET UTF-8\nSFX S Y 1\nSFX S 0 s .\nPFX U Y 1\nPFX U 0 un .\n", "4\nOpenOffice/SU\nUNO/S\nMcDonald\nnasa\n")
+    assert d.has_simple_rules
+    base = ["OpenOffice", "UNO", "McDonald", "nasa", "OpenOffices", "unOpenOffice", "UNOs"]
+    words = sorted({f(w) for w in base for f in (str, str.upper, str.lower, str.capitalize, lambda x: x + ".", lambda x: x[0].upper() + x[1:])})
+    got = {r.word: (r.correct, r.root) for r in check(spark.createDataFrame([(w,) for w in words], "w string"), d).collect()}
+    want = {w: (lambda r: (r.correct, r.root))(d.engine.check(w)) for w in words}
+    assert {w: got[w][0] for w in words} == {w: want[w][0] for w in words}
+
+
 def test_analyses_by_joins(spark):
     d = mini.dictionary()
     words = [w for w in some_words(200, 2) if w and "." not in w and "-" not in w and len(w) < 50]
