@@ -4,6 +4,7 @@ A rule is a pattern and what replaces it. In a pattern, letters stand for themse
 - gives a matched letter back; < puts the replacement in front of what is left; ^ ties the rule to the word's start, ^^ also
 starts the search for the next rule anew, $ ties it to the end; a digit is the priority (5 if none). Rules of a letter are
 tried in the file's order, and where a rule matches, a longer rule for its last letter with at least its priority goes first.
+Letters that no rule matches have no code.
 """
 
 from __future__ import annotations
@@ -75,9 +76,7 @@ class Phonetic:
                     if not self._outdone(r, word, i):
                         found = r
                         break
-            if found is None:
-                if not out or out[-1] != word[i]:
-                    out.append(word[i])
+            if found is None:  # letters without a rule have no sound
                 i, fresh = i + 1, False
                 continue
             n = found.length
