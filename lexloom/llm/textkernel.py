@@ -85,7 +85,7 @@ def word_hashes(x: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
-def doc_runs(offsets: np.ndarray, most: int = 2 << 20):
+def doc_runs(offsets: np.ndarray, most: int = 1 << 19):
     """Ranges of consecutive documents of about `most` bytes together; a longer one stands alone."""
     a = 0
     while a < len(offsets) - 1:

@@ -28,7 +28,7 @@ _OPEN: dict[tuple[str, bool], "Encoder"] = {}
 class Encoder:
     """spaced: white space has ids, and a word's include the space before it (byte-level); else it has none."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 700_000):
+    def __init__(self, path: str, spaced: bool, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
