@@ -47,8 +47,15 @@ class Lattice:
         normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in normal}
         self.unknown = min(sp.get_score(i) for i in normal) - 10
-        self.table: dict[str, tuple] = {p[:k]: () for p in pieces for k in range(1, len(p))}
-        self.table.update({p: (array("I", [i]).tobytes(), s) for p, (i, s) in pieces.items()})
+        # A tree of characters; a node is (children, ids or None, score).
+        self.root: dict[str, tuple] = {}
+        for p, (i, score) in sorted(pieces.items(), key=lambda x: len(x[0])):
+            level = self.root
+            for c in p[:-1]:
+                if c not in level:
+                    level[c] = ({}, None, 0.0)
+                level = level[c][0]
+            level[p[-1]] = (level[p[-1]][0] if p[-1] in level else {}, array("I", [i]).tobytes(), score)
         self.together = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
         byte = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte = [array("I", [byte[b]]).tobytes() if byte else array("I", [sp.unk_id()]).tobytes() for b in range(256)]
@@ -57,52 +64,54 @@ class Lattice:
         self.old: dict[str, tuple] = {}
         self.units: dict[str, tuple] = {}
 
+    def _spelled(self, char: str) -> bytes:
+        return b"".join([self.byte[b] for b in char.encode("utf-8", "surrogatepass")])
+
     def edges(self, part: str, i: int):
         """(end, ids, score) of the pieces that start at character i."""
-        table = self.table
-        first = table.get(part[i])
-        if not first:
-            yield i + 1, b"".join([self.byte[b] for b in part[i].encode("utf-8", "surrogatepass")]), self.unknown
-        if first is None:
-            return
-        for j in range(i + 1, len(part) + 1):
-            e = table.get(part[i:j])
-            if e is None:
+        first = self.root.get(part[i])
+        if first is None or first[1] is None:
+            yield i + 1, self._spelled(part[i]), self.unknown
+        level = self.root
+        for j in range(i, len(part)):
+            node = level.get(part[j])
+            if node is None:
                 return
-            if e:
-                yield j, e[0], e[1]
+            level = node[0]
+            if node[1] is not None:
+                yield j + 1, node[1], node[2]
 
     def best(self, part: str) -> tuple[bytes, float, float]:
         """Viterbi: ids and score of the best path, and how much less the second best has."""
-        n = len(part)
+        n, root = len(part), self.root
         one, two, back = [0.0] + [-inf] * n, [-inf] * (n + 1), [None] * (n + 1)
-        get, byte = self.table.get, self.byte
         for i in range(n):
-            a, b = one[i], two[i]
-            j = i + 1
-            e = get(part[i])
-            if not e:
-                c = a + self.unknown
+            a, level, j = one[i], root, i
+            while j < n:
+                node = level.get(part[j])
+                if node is None:
+                    if j == i:
+                        ids, c = self._spelled(part[i]), a + self.unknown
+                        j += 1
+                        if c > one[j]:
+                            two[j] = max(one[j], two[i] + self.unknown)
+                            one[j], back[j] = c, (i, ids)
+                        elif c > two[j]:
+                            two[j] = c
+                    break
+                level, ids, s = node
+                j += 1
+                if ids is None:
+                    if j > i + 1:
+                        continue
+                    ids, s = self._spelled(part[i]), self.unknown
+                c = a + s
                 if c > one[j]:
-                    two[j] = max(one[j], b + self.unknown)
-                    one[j], back[j] = c, (i, b"".join([byte[x] for x in part[i].encode("utf-8", "surrogatepass")]))
+                    d = two[i] + s
+                    two[j] = d if d > one[j] else one[j]
+                    one[j], back[j] = c, (i, ids)
                 elif c > two[j]:
                     two[j] = c
-                if e is None:
-                    continue
-            while e is not None:
-                if e:
-                    c = a + e[1]
-                    if c > one[j]:
-                        d = b + e[1]
-                        two[j] = d if d > one[j] else one[j]
-                        one[j], back[j] = c, (i, e[0])
-                    elif c > two[j]:
-                        two[j] = c
-                if j == n:
-                    break
-                j += 1
-                e = get(part[i:j])
         ids, j = [], n
         while j:
             j, x = back[j]
