@@ -97,8 +97,9 @@ def kind_col(c: Column, turkic: bool = False) -> Column:
     caps = n - F.length(F.translate(c, "".join(sorted(low)), ""))
     cased = n - F.length(F.translate(c, "".join(sorted({*low, *up})), ""))
     first = F.length(F.translate(F.substring(c, 1, 1), "".join(sorted(low)), "")) == 0
+    plain = c.rlike(r"^[\p{Ll}\p{Lo}\p{M}\p{Nd}'’.,-]*$")  # no letter of these is a capital; most words end here
     return (
-        F.when((n == 0) | (caps == 0), "none")
+        F.when(plain | (caps == 0), "none")
         .when((caps == 1) & first, "init")
         .when((caps == n) | (caps + n - cased == n), "all")
         .when(first, "mixed_init")

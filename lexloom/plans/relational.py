@@ -127,8 +127,9 @@ class Plan:
         """Words with the forms that their case allows, in order: word, without dots, whether only its first letter is a capital,
         form, place."""
         w = words.columns[0]
-        bare = F.regexp_replace(F.ltrim(F.col(w)), r"\.+$", "")
-        dots = F.length(F.ltrim(F.col(w))) > F.length(bare)
+        front = F.when(F.startswith(F.col(w), F.lit(" ")), F.ltrim(F.col(w))).otherwise(F.col(w))
+        dots = F.endswith(F.col(w), F.lit("."))
+        bare = F.when(dots, F.regexp_replace(front, r"\.+$", "")).otherwise(front)
         kind, small = kind_col(bare), lower_col(bare)
         own = F.when(kind == "init", F.array(bare, small)).when(kind == "all", F.array(bare, init_col(small), small)).when(kind == "mixed_init", F.array(bare, F.concat(lower_col(F.substring(bare, 1, 1)), F.substring(bare, 2, 2**31 - 1)))).otherwise(F.array(bare))
         both = F.when(dots, F.concat(own, F.transform(own, lambda x: F.concat(x, F.lit("."))))).otherwise(own)
