@@ -2,8 +2,7 @@
 
 No pre-token of the two tokenizer files crosses from a character that is not white space into a space or line end, so a
 text may be cut before any space or line end that follows such a character; the pieces' ids, joined, are the text's ids.
-A new piece that is a run of Latin letters goes to the tokenizer's model as it is; the others
-are encoded together, with a token between them that none of them has. Pieces' ids are kept as little-endian
+A new piece that is a run of Latin letters goes to the tokenizer's model as it is. Pieces' ids are kept as little-endian
 unsigned 32-bit bytes in two generations of tables of bounded size that live as long as the worker.
 """
 
@@ -17,7 +16,6 @@ import numpy as np
 
 _TWO = re.compile(r"\s[ \n]")
 _CUT = re.compile(r"(?<=\S)(?: |(?=\n))")
-_SPACE = re.compile(r"\s")
 _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Byte-level tokenizers write each byte as a letter: printable Latin-1 characters as themselves, the others as U+0100 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -25,19 +23,29 @@ _BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)).diffe
 _OPEN: dict[tuple[str, bool], "Encoder"] = {}
 
 
+class _Known(dict):
+    """Ids by piece; a new piece is learnt when it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class Encoder:
     """spaced: white space has ids, and a word's include the space before it (byte-level); else it has none."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 250_000):
+    def __init__(self, path: str, spaced: bool, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.most = Tokenizer.from_file(path), spaced, most
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._learn)
         self.old: dict[str, bytes] = {}
-        self.mark = "\n" if spaced else " 7 "
-        self.mark_id = self._ids(self.mark)[0]
-        self.mark_bytes = self._ids(self.mark).tobytes()
+        self.mark_bytes = self._ids("\n").tobytes()
         self.model = self.tokenizer.model
         self.marks: dict[str, bytes] = {}
 
@@ -60,64 +68,36 @@ class Encoder:
             word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array("I", [t.id for t in self.model.tokenize(f"\u0120{word}" if spaced else word)]).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        known, mark, more = self.known, self.mark, []
-        for p in new:
-            if p.isalpha() and (p.isascii() or max(p) < "\u0250"):
+    def _learn(self, piece: str) -> bytes:
+        old = self.old.get(piece)
+        if old is not None:
+            return old
+        if piece.isalpha():
+            if piece.isascii() or max(piece) < "\u0250":
                 if self.spaced:
-                    known[p] = self._word(p, True)
-                    continue
-                if p.isascii() or (low := p.lower()).isalpha():
-                    known[p] = self._word(p.lower() if p.isascii() else low, False)
-                    continue
-            elif self.spaced and p[:1] == "\n" and (body := p[1:]).isalpha() and (body.isascii() or max(body) < "\u0250"):
-                known[p] = self.mark_bytes + self._word(body, False)
-                continue
-            more.append(p)
-        new = more
-        if self.spaced:
-            lone = [p for p in new if p in ("", "\n") or _SPACE.search(p, 1 if p[0] == "\n" else 0)]
-        else:
-            lone = [p for p in new if not p or "7" in p]
-        for p in lone:
-            known[p] = self.plain(p if p[:1] == "\n" or not self.spaced else f" {p}")
-        if lone:
-            out = set(lone)
-            new = [p for p in new if p not in out]
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            text = "".join([p if p[0] == "\n" else f"\n {p}" for p in part]) if self.spaced else "".join([f"{mark}{p}" for p in part])
-            ids = self._ids(text)
-            at = np.flatnonzero(ids == self.mark_id)
-            if len(at) != len(part):  # never seen; one by one is always right
-                for p in part:
-                    known[p] = self.plain(p if p[0] == "\n" or not self.spaced else f" {p}")
-                continue
-            data, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            for p, a, b in zip(part, cuts, cuts[1:]):
-                known[p] = data[a:b] if self.spaced and p[0] == "\n" else data[a + 4 : b]
+                    return self._word(piece, True)
+                if piece.isascii() or (low := piece.lower()).isalpha():
+                    return self._word(piece.lower() if piece.isascii() else low, False)
+        elif piece:
+            if piece[-1] in _MARKS:
+                # A letter run and the marks after it, up to white space, are pre-tokens of their own.
+                base = piece.rstrip(_MARKS)
+                if base[-1:].isalpha():
+                    return self.known[base] + self._mark_ids(piece[len(base) :])
+            if self.spaced and piece[0] == "\n" and (body := piece[1:]).isalpha() and (body.isascii() or max(body) < "\u0250"):
+                return self.mark_bytes + self._word(body, False)
+        return self.plain(piece if piece[:1] == "\n" or not self.spaced else f" {piece}")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, for a batch of a few MB."""
-        cut = [self._cut(t) for t in texts]
-        heads = [self.plain(x.pop(0)) if self.spaced else b"" for x in cut]
         if len(self.known) > self.most:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        need = set().union(*cut).difference(known)
-        if old:
-            known.update({p: old[p] for p in need if p in old})
-            need = [p for p in need if p not in old]
-        # A letter run and the marks after it, up to white space, are pre-tokens of their own.
-        parts = {p: p.rstrip(_MARKS) for p in need if p[-1:] in _MARKS}
-        parts = {p: b for p, b in parts.items() if b[-1:].isalpha()}
-        new = {p for p in need if p not in parts}
-        new.update(b for b in parts.values() if b not in known)
-        self._learn(list(new))
-        for p, b in parts.items():
-            known[p] = known[b] + self._mark_ids(p[len(b) :])
-        get = known.__getitem__
-        return [h + b"".join(map(get, x)) for h, x in zip(heads, cut, strict=True)]
+            self.old, self.known = dict(self.known), _Known(self._learn)
+        get, out = self.known.__getitem__, []
+        for text in texts:
+            cut = self._cut(text)
+            head = self.plain(cut.pop(0)) if self.spaced else b""
+            out.append(head + b"".join(map(get, cut)))
+        return out
 
     def _mark_ids(self, marks: str) -> bytes:
         if marks not in self.marks:
