@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, asked once for each new piece of text instead of for each occurrence.
 
 No pre-token of the two tokenizer files crosses from a character that is not white space into a space or line end, so a
-text may be cut before any space or line end that follows such a character; the pieces' ids, joined, are the text's ids.
+text may be cut before any space or line end that follows such a character, but not at a space that a line end follows;
+the pieces' ids, joined, are the text's ids.
 A new piece that is a run of Latin letters goes to the tokenizer's model as it is. Pieces' ids are kept as little-endian
 unsigned 32-bit bytes in two generations of tables of bounded size that live as long as the worker.
 """
@@ -15,7 +16,8 @@ from array import array
 import numpy as np
 
 _TWO = re.compile(r"\s[ \n]")
-_CUT = re.compile(r"(?<=\S)(?: |(?=\n))")
+#: A space before a line end has an id of its own, so no cut takes it away.
+_CUT = re.compile(r"(?<=\S)(?: (?!\n)|(?=\n))")
 _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Byte-level tokenizers write each byte as a letter: printable Latin-1 characters as themselves, the others as U+0100 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -30,6 +30,23 @@ def test_ids_are_the_librarys(text):
         assert e.encode([text, "a", text]) == [e.plain(text), e.plain("a"), e.plain(text)]
 
 
+LINE_ENDS = ["a \nb", "a \n", "a \n\nb", "line one \nline two", "- item \n- item", "x a \nb, \nc!", "a  \nb \n c"]
+
+
+@pytest.mark.parametrize("text", LINE_ENDS)
+def test_a_space_before_a_line_end_keeps_its_id(text):
+    for path, spaced in ((BYTE, True), (WORD, False)):
+        e = encoder(path, spaced)
+        assert e.encode([text]) == [e.plain(text)]
+
+
+def test_packing_of_spaces_before_line_ends(spark):
+    t = Tokenizer.from_file(BYTE)
+    got = pack(frame(spark, list(enumerate(LINE_ENDS))), BYTE, with_ids=True).collect()
+    want = {(i, len(ids_of(t, x)), zlib.crc32(ids_of(t, x).tobytes())) for i, x in enumerate(LINE_ENDS)}
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in got} == want
+
+
 def test_packing(spark):
     t = Tokenizer.from_file(BYTE)
     data = rows()
