@@ -22,9 +22,16 @@ _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Byte-level tokenizers write each byte as a letter: printable Latin-1 characters as themselves, the others as U+0100 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)).difference(_PLAIN)))}
+#: Marks that a small letter joins to one character but its capital does not: of H, J, T, W and Y; the last one holds another.
+_SMALL_MARKS = "\u0331\u030c\u0308\u030a\u0344"
 _OPEN: dict[tuple[str, bool], "Encoder"] = {}
 
 
+def _own(text: str) -> bool:
+    """Whether capitals matter: special tokens are found before letters are lowered, and letters and marks are joined before."""
+    return "<|" in text or (not text.isascii() and any(m in text for m in _SMALL_MARKS))
+
+
 class _Known(dict):
     """Ids by piece; a new piece is learnt when it is asked for."""
 
@@ -60,8 +67,11 @@ class Encoder:
     def _cut(self, text: str) -> list[str]:
         """Pieces; those after the first stand for themselves with a space before, or begin with a line end."""
         if not self.spaced:
-            # The normaliser lowers all letters; lowering A-Z before it changes nothing but the number of pieces.
-            return text.replace("\n", " ").encode().lower().decode().split(" ")
+            # The normaliser lowers all letters; doing so before it only makes fewer pieces, but for those of _own.
+            text = text.replace("\n", " ")
+            if not _own(text):
+                return text.encode().lower().decode().split(" ")
+            return [p if _own(p) else p.encode().lower().decode() for p in text.split(" ")]
         return _CUT.split(text) if _TWO.search(text) else text.replace("\n", " \n").split(" ")
 
     def _word(self, word: str, spaced: bool) -> bytes:

@@ -47,6 +47,22 @@ def test_packing_of_spaces_before_line_ends(spark):
     assert {(r.doc_id, r.length, r.ids_crc32) for r in got} == want
 
 
+CAPITALS = ["<|ENDOFTEXT|>", "A <|EndOfText|> B", "<|startOFtext|>!", "One <|endoftext|> TWO<|Endoftext|>", "J\u030c", "x T\u0308y", "H\u0331", "J\u0323\u030c", "T\u0344", "Y\u030a W\u030a"]
+
+
+@pytest.mark.parametrize("text", CAPITALS)
+def test_capitals_of_special_tokens_and_marked_letters(text):
+    e = encoder(WORD, False)
+    assert e.encode([text]) == [e.plain(text)]
+
+
+def test_token_files_of_capitals(spark):
+    t = Tokenizer.from_file(WORD)
+    got = T.read_token_ids(T.write_token_ids(frame(spark, list(enumerate(CAPITALS))), WORD)).collect()
+    want = {(i, len(ids_of(t, x)), zlib.crc32(ids_of(t, x).tobytes())) for i, x in enumerate(CAPITALS)}
+    assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in got} == want
+
+
 def test_packing(spark):
     t = Tokenizer.from_file(BYTE)
     data = rows()
