@@ -142,7 +142,7 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stems_by_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _tokens(_table(spark, sf_dir, "benchmark"), "item_id").select("word")
+    words = _tokens(_table(spark, sf_dir, "documents"), "doc_id").select("word")
     return frames.ask(words, mini.dictionary(), "stem").select("word", F.array_join("stems", ",").alias("stems"))
 
 
@@ -153,7 +153,7 @@ def suffix_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _tokens(_table(spark, sf_dir, "benchmark"), "item_id").select("word", F.lit("moved").alias("example"))
+    words = _tokens(_table(spark, sf_dir, "documents"), "doc_id").select("word", F.lit("moved").alias("example"))
     return frames.generate(words, mini.dictionary()).select("word", "example", F.array_join("forms", ",").alias("forms"))
 
 
@@ -165,6 +165,11 @@ def _wrong_of_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(spark, t).filter("NOT correct").select("word")
 
 
+def _wrong_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tokens(_table(spark, sf_dir, "documents"), "doc_id")
+    return _verdicts(spark, t).filter("NOT correct").select("word")
+
+
 def edit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Right words one mistake away: exchanged neighbours, one letter more, one less, another."""
     wrong = _wrong_of_benchmark(spark, sf_dir)
@@ -208,9 +213,9 @@ def word_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, d = _table(spark, sf_dir, "benchmark"), mini.dictionary()
-    wrong = texts.misspellings(docs, d, "item_id", "text", suggest=True)
-    return texts.pipe_lines(wrong, frames.ask(_tokens(docs, "item_id").select("word"), d, "check"), "item_id")
+    docs, d = _table(spark, sf_dir, "documents"), mini.dictionary()
+    wrong = texts.misspellings(docs, d, "doc_id", "text", suggest=True)
+    return texts.pipe_lines(wrong, frames.ask(_tokens(docs, "doc_id").select("word"), d, "check"), "doc_id")
 
 
 def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,12 +228,12 @@ def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def close_list_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = spark.createDataFrame([(w, True) for w in mini.ALLOWED] + [(w, False) for w in mini.FORBIDDEN], "word string, allowed boolean")
-    out = frames.close_words(_wrong_of_benchmark(spark, sf_dir), lists)
+    out = frames.close_words(_wrong_of_documents(spark, sf_dir), lists)
     return out.select("word", "suggestion", _long(F.col("distance"), "distance"), _long(F.col("place"), "place"))
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = frames.ask(_wrong_of_benchmark(spark, sf_dir), mini.dictionary(), "suggest")
+    found = frames.ask(_wrong_of_documents(spark, sf_dir), mini.dictionary(), "suggest")
     return found.select("word", F.array_join("suggestions", ",").alias("suggestions"))
 
 
@@ -248,8 +253,8 @@ def check_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corrected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "benchmark")
-    return texts.correct(docs, mini.dictionary(), "item_id", "text")
+    docs = _table(spark, sf_dir, "documents")
+    return texts.correct(docs, mini.dictionary(), "doc_id", "text")
 
 
 def stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
