@@ -32,6 +32,12 @@ def _own(text: str) -> bool:
     return "<|" in text or (not text.isascii() and any(m in text for m in _SMALL_MARKS))
 
 
+def _ends_in_letter(text: str) -> bool:
+    """Whether a text ends, in small letters too, in a Latin letter. \u0130 in small letters ends in a combining dot."""
+    last = text[-1:]
+    return last.isalpha() and (last.isascii() or last < "\u0250" and last.lower()[-1:].isalpha())
+
+
 class _Known(dict):
     """Ids by piece; a new piece is learnt when it is asked for."""
 
@@ -94,7 +100,7 @@ class Encoder:
             if piece[-1] in _MARKS:
                 # A letter run and the marks after it, up to white space, are pre-tokens of their own.
                 base = piece.rstrip(_MARKS)
-                if base[-1:].isalpha():
+                if _ends_in_letter(base):
                     return self.known[base] + self._mark_ids(piece[len(base) :])
             if self.spaced and piece[0] == "\n" and (body := piece[1:]).isalpha() and (body.isascii() or max(body) < "\u0250"):
                 return self.mark_bytes + self._word(body, False)

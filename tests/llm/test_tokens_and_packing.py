@@ -177,3 +177,19 @@ def test_n_best_of_documents(spark):
 def test_spaces(text):
     m = lattice(PIECE)
     assert m.decode(m.encode([text])[0][0][1]) == text
+
+
+POOLS = ["ab c\n \t.,x", " \n\r\t|-*#>`abcXYZ'’s0129", "İıſŉĳﬁǅßẞ aIi!\n.̇̈", "àéîõüñçÅØÞ aE \n.", "áëH̱T̈ Y̊\n", "😀👍🏽 ‍ab\n", "中文字 かな 한글 ab\n.", "ΑΣς σΩ Ӂ\n'"]
+
+
+def test_random_texts_of_many_kinds():
+    """Spaces before line ends, tables, Latin-1, dotted and long letters, combining marks, emoji: ids as the library gives them."""
+    import random
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(rng.choice(POOLS) if rng.random() < 0.1 else pool) for _ in range(rng.randrange(1, 25))) for pool in POOLS for _ in range(5000)]
+    texts += ["İ!", "x İ? y", "first line \nsecond line", "x. \n", "} \n", "| a | b | \n| c |", "a\r\n b \r\n"]
+    for path, spaced in ((BYTE, True), (WORD, False)):
+        e = encoder(path, spaced)
+        want = [np.asarray(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert e.encode(texts) == want
