@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.functions.arrays import placed_matches, quoted
+
 APOSTROPHES = ("'", "’")
 #: Entities that stand for Latin-1 letters count as letters of a word.
 LATIN_ENTITIES = "|".join(sorted(n for n, c in html.entities.name2codepoint.items() if 0xC0 <= c <= 0xFF and chr(c).isalpha()))
@@ -276,21 +278,7 @@ def words_col(text: Column, wordchars: str = "") -> Column:
     return F.regexp_extract_all(text, F.lit(word_regex(wordchars, java=True)), F.lit(0))
 
 
-def placed_words_col(text: Column, wordchars: str = "") -> Column:
-    """Words of plain texts with their places: array of (word, start, ord), start in characters from 0. A word starts
-    where the pieces between words and the words before it end."""
-    rx = word_regex(wordchars, java=True)
-    zipped = F.arrays_zip(F.split(text, rx, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rx), F.lit(0)).alias("word"))
-    kind = "array<struct<word:string,start:int>>"
-    return F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {kind})").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["word"]), F.lit(0))).cast("int").alias("at"),
-            F.when(x["word"].isNull(), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(F.struct(x["word"].alias("word"), (acc["at"] + F.length(x["gap"])).cast("int").alias("start")))))
-            .cast(kind)
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+def placed_words_col(text_col: str, wordchars: str = "") -> Column:
+    """Words of a column of plain texts with their places: array of (word, start), start in characters from 0."""
+    found = placed_matches(quoted(text_col), word_regex(wordchars, java=True))
+    return F.expr(f"transform({found}, x -> named_struct('word', x.hit, 'start', x.start))")

@@ -22,7 +22,7 @@ def tokens(docs: DataFrame, id_col: str, text_col: str, fmt: str = "text", wordc
     """
     d = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull())
     if fmt == "text" and urls:
-        found = F.explode(placed_words_col(F.col(text_col), wordchars)).alias("t")
+        found = F.explode(placed_words_col(text_col, wordchars)).alias("t")
         rows = d.select(id_col, text_col, found)
         before = F.substring(F.col(text_col), F.lit(1), F.col("t.start"))
         return rows.select(

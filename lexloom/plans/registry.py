@@ -42,7 +42,7 @@ def tokens_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(placed_words_col(F.col("text"))).alias("t"))
+    t = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(placed_words_col("text")).alias("t"))
     return t.groupBy("conv_id", "turn").agg(_long(F.count("*"), "n_tokens"), _long(F.max("t.start"), "last_start"), _long(F.sum(F.col("t.start")), "sum_start"))
 
 
