@@ -95,8 +95,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(_documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
-        listed(merged(F.col("base"), F.col("added"))).alias("spans"),
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed("base"), 256).alias("base_sha256"),
+        listed(merged("base", "added")).alias("spans"),
     )
 
 

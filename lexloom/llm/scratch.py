@@ -30,6 +30,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that df has no column of, in whatever letter case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """A new folder inside the shared one. Tables in it are written once and read many times."""
 
