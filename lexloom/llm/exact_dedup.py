@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.arrays import quoted
+
 from .scratch import Scratch
 
 BLOCK_BYTES = 8192
@@ -106,16 +108,15 @@ def _through_content(s, d, rows, names, clash, at, blocks, short) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names."""
     s = Scratch(docs.sparkSession, "keep-one")
     found = exact_dedup(docs, id_col, text_col)
-    stay = s.cut(found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "stay")
+    stay = s.cut(found.filter("kept").select("doc_id", "text_sha256"), "stay")
+    twice = s.cut(found.groupBy("doc_id", "text_sha256").count().filter("count > 1").select("doc_id", "text_sha256"), "twice")
     sha = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
-    mine = docs.withColumn("__sha", sha)
-    held = mine.join(stay.withColumnRenamed("__sha", "__s"), (mine["__sha"] == F.col("__s")) & mine[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    twice = s.cut(found.groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__s")), "twice")
-    if twice.isEmpty():
-        return held.drop("__sha")
-    same = (F.col("__sha") == F.col("__s")) & held[id_col].eqNullSafe(F.col("__id"))
-    once = held.join(twice, same, "left_anti")
-    return once.unionByName(held.join(twice, same, "left_semi").dropDuplicates([id_col, "__sha"])).drop("__sha")
+    row = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(id_col).alias("own"), sha.alias("sha"))
+    same = F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256"))
+    held = row.join(stay, same, "left_semi")
+    if not twice.isEmpty():
+        held = held.join(twice, same, "left_anti").unionByName(held.join(twice, same, "left_semi").dropDuplicates(["own", "sha"]))
+    return held.select("row.*")

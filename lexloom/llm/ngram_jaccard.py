@@ -24,20 +24,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.arrays import quoted
+
 from .components import components
 from .scratch import Scratch, small_batches
-from .textkernel import doc_runs, mix, shingle_sets, utf8
+from .textkernel import doc_runs, mix, proven_sets, shingle_sets, utf8
 
 SIZE, PERCENT = 5, 80
 COMMON, COMMON_PER_TASK, COUNTED, ENTRIES_PER_BLOCK = 1 << 18, 1 << 15, 1 << 20, 1 << 19
-CHUNK_ROWS, CHUNK_GRAMS, SENT, VOCABULARY, STRIPE = 1024, 1 << 21, 32, 4096, 256
-BROADCAST_ROWS, SEEN = 200_000, 500_000
+CHUNK_ROWS, CHUNK_GRAMS, SENT, VOCABULARY, STRIPE = 512, 1 << 21, 32, 4096, 256
+#: A column with more rows than HOT_ROWS is cut before its block is gathered; groups of up to SMALL rows are multiplied together.
+HOT_ROWS, SMALL, BATCH_ENTRIES = 1 << 18, 64, 1 << 17
+BROADCAST_ROWS, SEEN, MOST_SALTS = 200_000, 500_000, 20
 
 
-def _sets(column: pa.Array, size: int):
+def _sets(column: pa.Array, size: int, salt: int, make=shingle_sets):
     x, at = utf8(column)
     for a, b in doc_runs(at):
-        yield a, shingle_sets(x[at[a] : at[b]], at[a : b + 1] - at[a], size)
+        yield a, make(x[at[a] : at[b]], at[a : b + 1] - at[a], size, salt)
 
 
 def _counted(grams: np.ndarray, counts: np.ndarray, new: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,14 +58,14 @@ def _counted(grams: np.ndarray, counts: np.ndarray, new: list[np.ndarray], most:
     return grams, counts
 
 
-def _common(size: int):
+def _common(size: int, salt: int):
     """Per task the n-grams met in most of its documents, at most COMMON_PER_TASK of them, by lossy counting."""
 
     def run(batches):
         grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held, waiting = [], 0
         for batch in batches:
-            for _, sets in _sets(batch.column(0), size):
+            for _, sets in _sets(batch.column(0), size, salt):
                 held += sets
                 waiting += sum(map(len, sets))
                 if waiting > COUNTED // 2:
@@ -102,33 +106,31 @@ class Order:
         return np.concatenate([np.delete(out, maybe), np.sort(self.rank[at]) | np.uint64(1 << 63)])
 
 
-def _name(grams: np.ndarray, salt: int) -> tuple[int, int]:
-    """A class's number, and a second one that shows if two classes have the same number."""
-    data = hashlib.blake2b(grams.tobytes(), digest_size=16, salt=salt.to_bytes(4, "little")).digest()
-    return int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:], "little", signed=True)
+def _name(grams: np.ndarray, salt: int) -> int:
+    """A class's number."""
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8, salt=salt.to_bytes(4, "little")).digest(), "little", signed=True)
 
 
 def _rows(size: int, percent: int, common: np.ndarray, salt: int):
-    """Per document: its own key, the class, the set's size and the first columns of its row."""
+    """Per document: its own key, the class, what proves it (see proven_sets), the set's size and the first columns of its row."""
 
     def run(batches):
         order = Order(common)
         for batch in batches:
-            for a, sets in _sets(batch.column(0), size):
-                n = [len(v) for v in sets]
-                names = [_name(v, salt) for v in sets]
-                first = [order.place(v)[: k - -(-percent * k // 100) + 1].tobytes() if k else b"" for v, k in zip(sets, n)]
-                part = batch.slice(a, len(sets))
+            for a, found in _sets(batch.column(0), size, salt, proven_sets):
+                n = [len(v) for v, _, _ in found]
+                first = [order.place(v)[: k - -(-percent * k // 100) + 1].tobytes() if k else b"" for (v, _, _), k in zip(found, n)]
+                part, proof = batch.slice(a, len(found)), np.array([x for _, x, _ in found], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), part.column(2), pa.array([x for x, _ in names]), pa.array([x for _, x in names]), pa.array(n, pa.int64()), pa.array(first, pa.binary())],
-                    names=["doc_id", "tkey", "id", "second", "n", "first"],
+                    [part.column(1), part.column(2), pa.array([_name(v, salt) for v, _, _ in found]), pa.array(proof), pa.array([x for *_, x in found]), pa.array(n, pa.int64()), pa.array(first, pa.binary())],
+                    names=["doc_id", "tkey", "id", "proof", "clash", "n", "first"],
                 )
 
     return run
 
 
-def _scatter(blocks: int):
-    """Entries of the matrix by block of columns, as bytes of columns and of rows."""
+def _scatter(blocks: int, hot: np.ndarray, chunks: np.ndarray):
+    """Entries of the matrix by block of columns, as bytes of columns and of rows. A hot column's rows are dealt to chunks."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -137,6 +139,11 @@ def _scatter(blocks: int):
             g, r = (np.concatenate(x) for x in zip(*held))
             held.clear()
             block = (mix(g) % np.uint64(blocks)).astype(np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
+                own = np.flatnonzero(hot[at] == g)
+                chunk = mix(r[own].view(np.uint64)) % chunks[at[own]]
+                block[own] = (mix(g[own] + (chunk << np.uint64(32))) % np.uint64(blocks)).astype(np.int64)
             by = np.argsort(block, kind="stable")
             g, r, block = g[by], r[by], block[by]
             start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
@@ -169,29 +176,35 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return (x ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _columns(batches):
-    """Entries of columns with two rows or more; lead is set for the first of the columns that have the same rows."""
-    got = [(g, r) for batch in batches for g, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-    if not got:
-        return
-    g = np.frombuffer(b"".join(x for x, _ in got), np.uint64)
-    r = np.frombuffer(b"".join(x for _, x in got), np.int64)
-    by = np.lexsort((r, g))
-    g, r = g[by], r[by]
-    new = np.concatenate([[True], (g[1:] != g[:-1]) | (r[1:] != r[:-1])])
-    g, r = g[new], r[new]
-    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    size = np.diff(np.append(start, len(g)))
-    marks = [np.add.reduceat(mix(r.view(np.uint64) + np.uint64(k)), start) for k in (1, 0x51ED2701)]
-    many = np.flatnonzero(size > 1)
-    _, one = np.unique(np.stack([m[many] for m in marks], 1), axis=0, return_index=True) if len(many) else (0, many)
-    lead = np.zeros(len(start), bool)
-    lead[many[one]] = True
-    lead = np.repeat(lead, size)
-    rows = np.flatnonzero(np.repeat(size > 1, size))
-    for i in range(0, len(rows), 100_000):
-        at = rows[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(g[at])), pa.array(r[at]), pa.array(lead[at])], names=["col", "id", "lead"])
+def _columns(hot: np.ndarray):
+    """Entries of columns with two rows or more; lead is set for the first of the columns that have the same rows. Of a hot
+    column, a task has some rows; all its entries come, with lead unknown."""
+
+    def run(batches):
+        got = [(g, r) for batch in batches for g, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        if not got:
+            return
+        g = np.frombuffer(b"".join(x for x, _ in got), np.uint64)
+        r = np.frombuffer(b"".join(x for _, x in got), np.int64)
+        by = np.lexsort((r, g))
+        g, r = g[by], r[by]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (r[1:] != r[:-1])])
+        g, r = g[new], r[new]
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        size = np.diff(np.append(start, len(g)))
+        marks = [np.add.reduceat(mix(r.view(np.uint64) + np.uint64(k)), start) for k in (1, 0x51ED2701)]
+        part = np.isin(g[start], hot)
+        many = np.flatnonzero((size > 1) & ~part)
+        _, one = np.unique(np.stack([m[many] for m in marks], 1), axis=0, return_index=True) if len(many) else (0, many)
+        lead = np.zeros(len(start), bool)
+        lead[many[one]] = True
+        lead, part = np.repeat(lead, size), np.repeat(part, size)
+        rows = np.flatnonzero(np.repeat(size > 1, size) | part)
+        for i in range(0, len(rows), 100_000):
+            at = rows[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(g[at])), pa.array(r[at]), pa.array(lead[at], mask=part[at])], names=["col", "id", "lead"])
+
+    return run
 
 
 def _groups(batches, keys: int):
@@ -208,79 +221,138 @@ def _groups(batches, keys: int):
         yield held
 
 
-def _product(lists: list[np.ndarray], before: int | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Overlap counts of all pairs of sets, and those over numbers below `before`; columns a block at a time."""
-    k = len(lists)
-    flat = np.concatenate(lists)
-    own = np.repeat(np.arange(k), [len(x) for x in lists])
-    values, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+def _entries(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and columns of the entries whose column two rows or more have, by column, and these columns' values."""
+    own = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    values, place, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     useful = count > 1
-    new = np.cumsum(useful) - 1
     keep = useful[place]
-    own, place, values = own[keep], new[place[keep]], values[useful]
+    own, place = own[keep], (np.cumsum(useful) - 1)[place[keep]]
     by = np.argsort(place, kind="stable")
-    own, place = own[by], place[by]
-    total = np.zeros((k, k), np.float32)
-    early = np.zeros((k, k), np.float32) if before is not None else None
-    split = int(np.searchsorted(values, before)) if before is not None else len(values)
-    edges = sorted({*range(0, len(values), VOCABULARY), split, len(values)})
+    return own[by], place[by], values[useful]
+
+
+def _blocks(own: np.ndarray, place: np.ndarray, rows: int, edges: list[int]):
+    """The matrix, a block of columns at a time."""
     for a, b in zip(edges, edges[1:]):
         i, j = np.searchsorted(place, (a, b))
-        m = np.zeros((k, b - a), np.float32)
+        m = np.zeros((rows, b - a), np.float32)
         m[own[i:j], place[i:j] - a] = 1
+        yield b, m
+
+
+def _product(lists: list[np.ndarray], before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap counts of all pairs of sets, and those over numbers below `before`, accumulated block by block of columns."""
+    k = len(lists)
+    own, place, values = _entries(lists)
+    total, early = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    split = int(np.searchsorted(values, before))
+    for end, m in _blocks(own, place, k, sorted({*range(0, len(values), VOCABULARY), split, len(values)})):
         part = m @ m.T
         total += part
-        if early is not None and b <= split:
+        if end <= split:
             early += part
     return total, early
 
 
+def _masked_product(lists: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Overlap counts of the pairs (i, j) of sets, accumulated block by block of columns: the whole product of a block if
+    the pairs are many, else the products of their rows alone."""
+    own, place, values = _entries(lists)
+    out, many = np.zeros(len(i), np.float64), len(i) > 4 * len(lists)
+    for _, m in _blocks(own, place, len(lists), [*range(0, len(values), VOCABULARY), len(values)]):
+        if many:
+            out += (m @ m.T)[i, j]
+        else:
+            for a in range(0, len(i), STRIPE):
+                at = slice(a, a + STRIPE)
+                out[at] += np.einsum("pc,pc->p", m[i[at]], m[j[at]])
+    return out.astype(np.int64)
+
+
+def _sparse_product(lists: list[np.ndarray], group: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same product for many small groups of rows at once: pairs of rows (i < j) of one group that share a column, their
+    overlap counts, and those over columns below the group's `before`. Each column adds the outer product of its entries."""
+    own = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    value, of = np.concatenate(lists), group[own]
+    by = np.lexsort((own, value, of))
+    own, value, of = own[by], value[by], of[by]
+    start = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (of[1:] != of[:-1])]))
+    size = np.diff(np.append(start, len(own)))
+    codes, low = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for k in np.unique(size[size > 1]).tolist():
+        s = start[size == k]
+        x, y = np.triu_indices(k, 1)
+        rows = own[s[:, None] + np.arange(k)]
+        codes.append((rows[:, x] * len(lists) + rows[:, y]).ravel())
+        low.append(np.repeat(value[s] < before[of[s]], len(x)))
+    code, place = np.unique(np.concatenate(codes), return_inverse=True)
+    early = np.bincount(place, np.concatenate(low), len(code))
+    return code // len(lists), code % len(lists), np.bincount(place, minlength=len(code)), early
+
+
 def _candidates(percent: int):
     """Per column (or pair of chunks of one): the pairs that this column owns and that the bounds leave."""
 
-    def owned(rows):
-        col = rows[0][1]
-        ids = np.array([r[3] for r in rows], np.int64)
+    def possible(n, rest, i, j, both, early):
+        x, y = n[i], n[j]
+        ok = (early == 0) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+        return ok & ((both + np.maximum(rest[i], rest[j])) * (100 + percent) >= (x + y) * percent)
+
+    def numbers(rows):
         n = np.array([r[4] for r in rows], np.int64)
-        rest = -(-percent * n // 100) - 1 + np.array([r[6] for r in rows], np.int64)
-        side = np.array([r[2] for r in rows])
-        apart = len(set(side.tolist())) > 1 or rows[0][7]
-        if len(rows) <= 16:
-            sets = [frozenset(r[5]) for r in rows]
-            a, b = [], []
-            for i in range(len(rows)):
-                for j in range(i):
-                    if apart and side[i] == side[j] or 100 * min(n[i], n[j]) < percent * max(n[i], n[j]):
-                        continue
-                    both = sets[i] & sets[j]
-                    if (not both or min(both) >= col) and (max(len(both), 1) + max(rest[i], rest[j])) * (100 + percent) >= (n[i] + n[j]) * percent:
-                        a.append(i)
-                        b.append(j)
-            return ids, np.array(a, np.int64), np.array(b, np.int64)
-        both, early = _product([np.asarray(r[5], np.int64) for r in rows], col)
+        return np.array([r[3] for r in rows], np.int64), n, -(-percent * n // 100) - 1 + np.array([r[6] for r in rows], np.int64), np.array([r[2] for r in rows])
+
+    def sets_of(rows):
+        # Rows of a column share it, though a row with many shared columns may have been sent without it.
+        return [np.unique(np.array([*r[5], r[1]], np.int64)) for r in rows]
+
+    def large(rows):
+        ids, n, rest, side = numbers(rows)
+        both, early = _product(sets_of(rows), rows[0][1])
         out = []
-        for i in range(0, len(rows), STRIPE):  # a stripe of the pairs' matrix at a time
-            own = slice(i, i + STRIPE)
-            x, y = n[own, None], n[None, :]
-            ok = (np.arange(len(rows))[None, :] < np.arange(i, min(i + STRIPE, len(rows)))[:, None]) & (early[own] == 0)
-            ok &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-            ok &= (np.maximum(both[own], 1) + np.maximum(rest[own, None], rest[None, :])) * (100 + percent) >= (x + y) * percent
-            if apart:
-                ok &= side[own, None] != side[None, :]
-            a, b = np.nonzero(ok)
-            out.append((a + i, b))
+        for a in range(0, len(rows), STRIPE):  # a stripe of the pairs' matrix at a time
+            i, j = np.arange(a, min(a + STRIPE, len(rows)))[:, None], np.arange(len(rows))[None, :]
+            ok = (j < i) & possible(n, rest, i, j, both[a : a + STRIPE], early[a : a + STRIPE])
+            if rows[0][7]:
+                ok &= side[i] != side[j]
+            x, y = np.nonzero(ok)
+            out.append((x + a, y))
         a, b = (np.concatenate(x) for x in zip(*out))
-        return ids, a, b
+        return [(rows[0][0], ids[a], ids[b])] if len(a) else []
+
+    def small(groups):
+        rows = [r for g in groups for r in g]
+        of = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+        ids, n, rest, side = numbers(rows)
+        apart = np.array([g[0][7] for g in groups])
+        i, j, both, early = _sparse_product(sets_of(rows), of, np.array([g[0][1] for g in groups], np.int64))
+        ok = possible(n, rest, i, j, both, early) & ~(apart[of[i]] & (side[i] == side[j]))
+        i, j = i[ok], j[ok]
+        start = np.flatnonzero(np.concatenate([[True], of[i][1:] != of[i][:-1]])) if len(i) else []
+        return [(groups[of[i[a]]][0][0], ids[i[a:b]], ids[j[a:b]]) for a, b in zip(start, [*start[1:], len(i)])]
+
+    def told(found):
+        for a in range(0, len(found), 500):
+            part = found[a : a + 500]
+            ids = [np.unique(np.concatenate([x, y])).tolist() for _, x, y in part]
+            columns = [pa.array([k for k, _, _ in part], pa.int64()), pa.array(ids, pa.list_(pa.int64())), *(pa.array([p[c].tobytes() for p in part], pa.binary()) for c in (1, 2))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "a", "b"])
 
     def run(batches):
+        held, waiting = [], 0
         for rows in _groups(batches, 2):
-            ids, a, b = owned(rows)
-            if len(a):
-                used = np.unique(np.concatenate([a, b]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[0][0]]), pa.array([ids[used].tolist()], pa.list_(pa.int64())), pa.array([ids[a].tobytes()], pa.binary()), pa.array([ids[b].tobytes()], pa.binary())],
-                    names=["key", "ids", "a", "b"],
-                )
+            if len(rows) > SMALL:
+                yield from told(large(rows))
+                continue
+            if len(rows) > 1:
+                held.append(rows)
+                waiting += sum(len(r[5]) + 1 for r in rows)
+            if waiting > BATCH_ENTRIES:
+                yield from told(small(held))
+                held, waiting = [], 0
+        if held:
+            yield from told(small(held))
 
     return run
 
@@ -331,13 +403,9 @@ def _routed(batches):
 
 
 def _overlaps(lists: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Overlap counts of pairs of ids: as a product if they are many, else one by one."""
+    """Overlap counts of pairs of ids."""
     ids = np.array(sorted(lists), np.int64)
-    sets = [lists[i] for i in ids.tolist()]
-    i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
-    if len(a) > 4 * len(ids):
-        return _product(sets)[0][i, j].astype(np.int64)
-    return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
+    return _masked_product([lists[i] for i in ids.tolist()], np.searchsorted(ids, a), np.searchsorted(ids, b))
 
 
 def _pairs_of(rows, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -404,9 +472,9 @@ def _take_sets(size: int, salt: int):
     def run(batches):
         for batch in batches:
             want, family, chunks = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            for a, sets in _sets(batch.column(0), size):
+            for a, sets in _sets(batch.column(0), size, salt):
                 for k, v in enumerate(sets, a):
-                    if not len(v) or _name(v, salt)[0] != want[k]:
+                    if not len(v) or _name(v, salt) != want[k]:
                         continue
                     own = int(_chunk(np.array([want[k]], np.int64), chunks[k])[0])
                     keys = [_key(family[k], min(own, z), max(own, z)) for z in range(chunks[k])]
@@ -430,20 +498,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(spark)
     s = Scratch(spark, "ngram-jaccard")
     d = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"))
-    top = d.select("text").mapInArrow(_common(size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(COMMON)
-    common = top.filter("n > 2").select("gram").toArrow().column(0).to_numpy().view(np.uint64)[::-1].copy()  # at most COMMON, most common last
-    schema = "doc_id long, tkey long, id long, second long, n long, first binary"
-    for salt in range(100):  # two classes with one number have not been seen; another salt parts them
+    schema = "doc_id long, tkey long, id long, proof long, clash boolean, n long, first binary"
+    for salt in range(MOST_SALTS):
+        top = d.select("text").mapInArrow(_common(size, salt), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(COMMON)
+        often = top.filter("n > 2").toArrow()  # at most COMMON, most common first
+        common, count = often.column(0).to_numpy().view(np.uint64)[::-1].copy(), often.column(1).to_numpy()[::-1]
         found = s.cut(d.mapInArrow(_rows(size, percent, common, salt), schema), f"documents{salt}")
-        clash = found.filter("n > 0").groupBy("id").agg(F.min("second").alias("x"), F.max("second").alias("y")).filter("x <> y")
-        if clash.isEmpty():
+        odd = found.filter("n > 0").groupBy("id").agg(F.min("proof").alias("x"), F.max("proof").alias("y"), F.max("clash").alias("z")).filter("x <> y OR z")
+        if odd.isEmpty():
             break
+        s.drop(f"documents{salt}")
+    else:
+        raise RuntimeError(f"hashes collide under {MOST_SALTS} keys")
     light = s.cut(found.select("doc_id", "tkey", "id", "n"), "light")
     classes = s.cut(light.filter("n > 0").groupBy("id").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "tkey")).alias("one")), "classes")
     entries = classes.agg(F.sum(F.expr(f"n - ({percent} * n + 99) DIV 100 + 1"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries / ENTRIES_PER_BLOCK))
-    spread = found.filter("n > 0").select("id", "first").mapInArrow(_scatter(blocks), "block int, grams binary, rows binary")
-    cols = s.cut(spread.repartition(blocks, "block").select("grams", "rows").mapInArrow(_columns, "col long, id long, lead boolean"), "columns")
+    at = np.flatnonzero(count > HOT_ROWS)
+    hot, chunks = at.astype(np.uint64) | np.uint64(1 << 63), -(-count[at] // HOT_ROWS).astype(np.uint64) if len(at) else at.astype(np.uint64)
+    spread = found.filter("n > 0").select("id", "first").mapInArrow(_scatter(blocks, hot, chunks), "block int, grams binary, rows binary")
+    cols = s.cut(spread.repartition(blocks, "block").select("grams", "rows").mapInArrow(_columns(hot), "col long, id long, lead boolean"), "columns")
+    if len(hot):
+        cols = _hot_leads(s, cols)
     s.drop(f"documents{salt}")
     links = _links(s, d, cols, classes, size, percent, salt, blocks)
     label = components(links, s)
@@ -454,6 +530,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.unionByName(alone)
 
 
+def _hot_leads(s: Scratch, cols: DataFrame) -> DataFrame:
+    """cols with lead filled in for hot columns: the first of those that have the same rows, told by sums over these."""
+    hot = cols.filter("lead IS NULL")
+    marks = hot.groupBy("col").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("k > 1")
+    marks = s.cut(marks, "hot")
+    lead = marks.groupBy("k", "x", "y").agg(F.min("col").alias("col")).select("col", F.lit(True).alias("first"))
+    named = marks.select("col").join(lead, "col", "left").select("col", F.coalesce("first", F.lit(False)).alias("first"))
+    filled = hot.join(F.broadcast(named), "col").select("col", "id", F.col("first").alias("lead"))  # at most COMMON rows
+    return cols.filter("lead IS NOT NULL").unionByName(filled)
+
+
 def _links(s: Scratch, d: DataFrame, cols: DataFrame, classes: DataFrame, size: int, percent: int, salt: int, blocks: int) -> DataFrame:
     """Links (a, b) between classes, a spanning forest for each column."""
     shared = cols.groupBy("id").agg(F.sort_array(F.collect_list("col")).alias("cols"))  # no more than a row's first columns
@@ -495,15 +582,14 @@ def _links(s: Scratch, d: DataFrame, cols: DataFrame, classes: DataFrame, size:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that come first in their component, with all their columns: one row of each."""
+    """The rows of docs that come first in their component, with all their columns, whatever their names: one row of each."""
     s = Scratch(docs.sparkSession, "keep-first")
     found = near_groups(docs, id_col, text_col)
-    key = [F.col("doc_id").alias("__id"), F.col("tkey").alias("__t"), F.col("n_shingles").alias("__n")]
-    stay = s.cut(found.filter("struct(doc_id, tkey) <=> first_key").select(*key), "stay")
-    mine = docs.withColumn("__k", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = (F.col("__k") == F.col("__t")) & mine[id_col].eqNullSafe(F.col("__id"))
-    held = mine.join(stay, same, "left_semi")
-    twice = s.cut(stay.filter("__n > 0").groupBy("__id", "__t").count().filter("count > 1"), "twice")
-    if twice.isEmpty():
-        return held.drop("__k")
-    return held.join(twice, same, "left_anti").unionByName(held.join(twice, same, "left_semi").dropDuplicates([id_col, "__k"])).drop("__k")
+    stay = s.cut(found.filter("struct(doc_id, tkey) <=> first_key").select("doc_id", "tkey", "n_shingles"), "stay")
+    twice = s.cut(stay.filter("n_shingles > 0").groupBy("doc_id", "tkey").count().filter("count > 1").select("doc_id", "tkey"), "twice")
+    row = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("own"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    same = F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("tkey"))
+    held = row.join(stay, same, "left_semi")
+    if not twice.isEmpty():
+        held = held.join(twice, same, "left_anti").unionByName(held.join(twice, same, "left_semi").dropDuplicates(["own", "key"]))
+    return held.select("row.*")

@@ -28,7 +28,7 @@ _SCALE = 1 << 16
 
 def _words(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all words, offsets of documents among them, and where a word repeats the one before it."""
-    h, at = word_hashes(x, offsets, lower=False)
+    h, at, _ = word_hashes(x, offsets, lower=False)
     same = np.zeros(len(h), bool)
     same[1:] = h[1:] == h[:-1]
     same[at[:-1][at[:-1] < len(h)]] = False

@@ -75,12 +75,22 @@ def family(seed, n, words, edits):
     return out
 
 
-@pytest.mark.parametrize("chunk,sent", [(1024, 64), (3, 2)])
-def test_near_groups(spark, monkeypatch, chunk, sent):
+def thue_morse(n):
+    t = "a"
+    for _ in range(n):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("chunk,sent,small,hot", [(1024, 64, 64, 1 << 18), (3, 2, 2, 5), (512, 32, 4, 9)])
+def test_near_groups(spark, monkeypatch, chunk, sent, small, hot):
     monkeypatch.setattr(ngram_jaccard, "CHUNK_ROWS", chunk)
     monkeypatch.setattr(ngram_jaccard, "SENT", sent)
+    monkeypatch.setattr(ngram_jaccard, "SMALL", small)
+    monkeypatch.setattr(ngram_jaccard, "HOT_ROWS", hot)
     passage = " ".join(f"p{k}" for k in range(30))
     texts = family(1, 40, 60, 4) + family(2, 30, 25, 2) + [f"{passage} {t}" for t in family(3, 30, 12, 3)]
+    texts += [*thue_morse(10), "one " * 4 + thue_morse(9)[0], "one " * 4 + thue_morse(9)[1]]
     data = rows() + [(1000 + k, t) for k, t in enumerate(texts)]
     got = ngram_jaccard.near_groups(frame(spark, data)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(data)[0]
@@ -88,6 +98,49 @@ def test_near_groups(spark, monkeypatch, chunk, sent):
     assert ngram_jaccard.near_groups(frame(spark, [(1, None), (2, " ")])).count() == 2
 
 
+def test_every_overlap_is_a_product():
+    r = random.Random(5)
+    for _ in range(60):
+        lists = [ngram_jaccard.np.array(sorted(r.sample(range(60), r.randrange(0, 30))), "int64") for _ in range(r.randrange(2, 30))]
+        want = {(i, j): len(set(lists[i].tolist()) & set(lists[j].tolist())) for i in range(len(lists)) for j in range(i)}
+        cut = r.randrange(60)
+        total, early = ngram_jaccard._product(lists, cut)
+        assert all(total[i, j] == n for (i, j), n in want.items())
+        assert all(early[i, j] == sum(x < cut for x in set(lists[i].tolist()) & set(lists[j].tolist())) for i, j in want)
+        some = r.sample(sorted(want), r.randrange(1, len(want) + 1))
+        i, j = (ngram_jaccard.np.array(x) for x in zip(*some))
+        assert ngram_jaccard._masked_product(lists, i, j).tolist() == [want[p] for p in some]
+        of = ngram_jaccard.np.array(sorted(r.randrange(3) for _ in lists))
+        found = dict(((int(b), int(a)), (int(n), int(e))) for a, b, n, e in zip(*ngram_jaccard._sparse_product(lists, of, ngram_jaccard.np.array([cut] * 3))))
+        assert found == {(i, j): (n, int(early[i, j])) for (i, j), n in want.items() if n and of[i] == of[j]}
+
+
+def test_a_collision_shows():
+    import numpy as np
+
+    from lexloom.llm import textkernel
+
+    texts = [b"a b c d e f", b"f e d c b a", b"a b c d e f a b c d e f", b"", b"a"]
+    x, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    proofs = [p for _, p, _ in textkernel.proven_sets(x, at)]
+    assert len(set(proofs)) == 5 and not any(c for *_, c in textkernel.proven_sets(x, at))
+    assert [len(v) for v in textkernel.shingle_sets(x, at)] == [2, 2, 6, 0, 1]
+
+
+NAMES = "row own key stay twice doc_ID_ tkey n_shingles first_key __id __t __k __s __sha sha best rid level name h pos proof clash comp"
+
+
+@pytest.mark.parametrize("keep", [ngram_jaccard.keep_first, keep_one])
+def test_extra_columns_of_any_name_keep_their_values(spark, keep):
+    names = NAMES.split()
+    data = [(k, t, *(f"{n}{k}" for n in names)) for k, t in enumerate(["a b c", "a b c", None, "x y z u v w q", "", "é"])] + [(0, "a b c", *(f"{n}0" for n in names))]
+    df = spark.createDataFrame(data, "doc_id long, text string, " + ", ".join(f"`{n.upper() if i % 2 else n}` string" for i, n in enumerate(names)))
+    out = keep(df)
+    assert out.schema == df.schema
+    got = out.collect()
+    assert {tuple(r) for r in got} <= set(data) and len({r.text or "" for r in got}) == len({t or "" for _, t, *_ in data})
+
+
 def test_keep_first(spark):
     data = rows()
     df = frame(spark, data)
