@@ -20,7 +20,7 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from labelled rows that are not held out."""
     model = llm_queries.quality_model(spark, sf_dir, docs)
-    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
