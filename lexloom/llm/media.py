@@ -239,6 +239,9 @@ def _features(folder: str):
 
 def audio_features(stored: DataFrame) -> DataFrame:
     """One row per row of store_audio's table, from the bytes read back: lengths and digests, feature (frames, loud
-    segments, loud frames, checksum of the tensors, mean tenths of dB by band), loud spans, and where its tensors are."""
-    folder = Scratch(stored.sparkSession, "tensors").at("files")
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_features(folder), _OUT)
+    segments, loud frames, checksum of the tensors, mean tenths of dB by band), loud spans, and where its tensors are.
+
+    The rows are written once and read back: a tensor file counts only if a committed row names it. Null ids stay null;
+    repeated rows are repeated; an empty table gives no rows."""
+    s = Scratch(stored.sparkSession, "tensors")
+    return s.cut(stored.select("doc_id", "n_bytes", "media").mapInArrow(_features(s.at("files")), _OUT), "features", "zstd")

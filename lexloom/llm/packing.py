@@ -70,6 +70,24 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     return run
 
 
+def _slots(rows: list[tuple[int, int, int, int, int]]):
+    """Gives pieces the slots of a plan (no more rows than the square of the capacity, whatever the input): the plan row of
+    a piece is the last one that begins at or before its length and rank."""
+    length, lo, _, seq, offset = np.array(sorted(rows), np.int64).reshape(-1, 5).T
+    begins = (length << 50) | lo
+
+    def run(batches):
+        for batch in batches:
+            at = {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("length", "rank")}
+            k = np.searchsorted(begins, (at["length"] << 50) | at["rank"], "right") - 1
+            sequence = seq[k] + at["rank"] - lo[k]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(sequence), pa.array(offset[k]), *batch.columns[6:]], names=[*batch.schema.names[:5], "sequence_id", "offset", *batch.schema.names[6:]]
+            )
+
+    return run
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, as bytes, if asked for).
 
@@ -86,12 +104,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     pieces = s.cut(d.mapInArrow(_pieces(tokenizer, capacity, with_ids), schema), "pieces")
     counts = s.cut(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    rows = plan(total, capacity)
-    slots = spark.createDataFrame(rows, "length long, lo long, n long, seq long, offset long")
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
-    slot = F.broadcast(slots.withColumnRenamed("length", "of"))  # no larger than the square of the capacity, whatever the input
-    placed = ranked.join(slot, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("lo") + F.col("n")))
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("seq") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset", *["ids"] * with_ids
-    )
+    ranked = pieces.join(before, ["length", "part"]).select(*pieces.columns[:5], (F.col("before") + F.col("nth")).alias("rank"), *["ids"] * with_ids)
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
+    return ranked.mapInArrow(_slots(plan(total, capacity)), schema)

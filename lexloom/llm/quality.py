@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .scratch import small_batches
+from lexloom.functions.arrays import quoted
+
+from .scratch import fresh, small_batches
 from .textkernel import doc_runs, utf8, word_hashes
 
 BITS, DIMENSIONS, EPOCHS, RATE, MAX_ROWS, THRESHOLD = 16, 8, 12, 0.5, 2000, 0.3
@@ -140,22 +142,36 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns `keep`) with two more, score and predicted, which replace any columns of those names.
+    """docs (or its columns `keep`) with two more, score and predicted, which replace any columns of those names, in
+    whatever letter case; other columns keep their values.
 
     Null and empty texts get the score of a text without features, repeated rows the same score, an empty table no rows.
     """
     small_batches(docs.sparkSession)
     table, bias = model.table, model.bias
-    docs = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.select(*[f"`{c}`" for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted", "__text")], "__text")
-    kept = out.drop("__text").schema
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")]
+    kept = docs.select(*[F.col(quoted(c)) for c in names])
+    out = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias(*fresh(kept, "text")), *kept.columns)
+
+    def run(batches):
+        m = Model(table, bias)
+        for batch in batches:
+            s = m.scores(batch.column(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+
+    return out.mapInArrow(run, StructType([*kept.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType()))
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score at least the threshold, as they are: columns of any name keep their values. Null texts
+    count as empty, equal texts stay or go together, an empty table gives no rows."""
+    small_batches(docs.sparkSession)
+    table, bias, at = model.table, model.bias, [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches):
         m = Model(table, bias)
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("__text"))
-            s = m.scores(text)
-            keep = [batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*kept.names, "score", "predicted"])
+            text = batch.column(at)
+            yield batch.filter(pa.array(m.scores(text.fill_null("") if text.null_count else text) >= threshold))
 
-    return out.mapInArrow(run, StructType([*kept.fields]).add("score", DoubleType()).add("predicted", IntegerType()))
+    return docs.mapInArrow(run, docs.schema)

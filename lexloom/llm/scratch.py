@@ -12,9 +12,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one, kept for the application, only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local one, kept for the application, but only if the
+    master is local too: on a cluster other machines would not see it."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = _LOCAL.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="lexloom-")
         _LOCAL[spark.sparkContext.applicationId] = there
     return there.rstrip("/")

@@ -4,23 +4,30 @@ A store is a folder with `shards/` (Parquet files that are never changed) and `m
 lists the live shards with their rows, bytes and tier. An append writes its rows as they come, one small shard per task,
 without a shuffle. Compaction takes one tier at a time, smallest first: its shards, in order of size, are dealt into
 groups of about the target size, and each group becomes one file. A version is committed by renaming its manifest into
-place, which fails if that version exists already; readers see one version or the other, and files that no kept version
-lists can be removed.
+place, which fails if that version exists already (renaming is atomic on HDFS and local disks; an object store needs a
+committer that creates a file only if it is absent). Readers see one version or the other. Old versions and their files
+stay until vacuum() removes those that are older than readers need, and files that no manifest ever listed with them.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import delete, hadoop
+from .scratch import delete, fresh, hadoop
 
-TARGET_BYTES, TIER_BYTES, FANOUT = 64 << 20, 1 << 20, 4
+TARGET_BYTES, TIER_BYTES, FANOUT, KEEP_SECONDS = 64 << 20, 1 << 20, 4, 7 * 24 * 3600.0
 _MANIFEST = "path string, rows long, bytes long, tier int"
 
 
+def _decoded(path: str):
+    """A file's path as readers take it: the metadata column has it with escapes. A plus sign is one."""
+    return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
+
+
 class ConflictError(RuntimeError):
     """Another writer has committed the version that this one was based on."""
 
@@ -68,7 +75,7 @@ class ShardStore:
 
     def _written(self, folder: str) -> DataFrame:
         """Manifest rows of the files in a folder; reads no columns."""
-        seen = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        seen = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(folder).select(_decoded("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
         return self._tiered(seen.groupBy("path", "bytes").agg(F.count("*").alias("rows")))
 
     def _tiered(self, shards: DataFrame) -> DataFrame:
@@ -102,11 +109,13 @@ class ShardStore:
 
     def _slots(self, n: int) -> DataFrame:
         """For each of n partitions a key that Spark's hash partitioning puts there, so that no two groups share a task."""
-        ids = self.spark.range(20 * n + 20).select(F.col("id").cast("int").alias("__key"))
-        return ids.groupBy(F.pmod(F.hash("__key"), F.lit(n)).alias("__slot")).agg(F.min("__key").alias("__key"))
+        ids = self.spark.range(20 * n + 20).select(F.col("id").cast("int").alias("key"))
+        return ids.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("slot")).agg(F.min("key").alias("key"))
+
+    def compact(self, least: int | None = None) -> int:
+        """Merge tier by tier until no tier has `least` shards (fanout if not given, 2 at least); returns the version.
 
-    def compact(self, least: int | None = None, keep: int = 1) -> int:
-        """Merge tier by tier until no tier has `least` shards (fanout if not given, 2 at least); returns the version."""
+        A merge is committed only if it wrote as many rows as it read. Old versions stay readable; see vacuum()."""
         while True:
             v = self.version()
             groups = self.plan(max(2, least or self.fanout)).select("path", "out")
@@ -115,28 +124,31 @@ class ShardStore:
                 return v
             folder = f"{self.path}/shards/{uuid.uuid4().hex}"
             n = len({r.out for r in chosen})
-            rows = self._files([r.path for r in chosen]).withColumn("__path", F.col("_metadata.file_path"))
-            groups_ = groups.join(self._slots(n), F.col("out") == F.col("__slot")).select(F.col("path").alias("__from"), F.col("out").alias("__out"), "__key")
-            dealt = rows.join(groups_, F.col("__path") == F.col("__from"))
-            names = [f"`{f.name}`" for f in self.schema.fields]
-            dealt = dealt.select(*names, "__out", "__key").repartition(n, "__key").drop("__key")
-            dealt.write.option("compression", "zstd").partitionBy("__out").parquet(folder)
+            rows = self._files([r.path for r in chosen])
+            at, out, key = fresh(rows, "at", "out", "key")
+            rows = rows.withColumn(at, _decoded("_metadata.file_path"))
+            dealt_to = groups.join(self._slots(n), F.col("out") == F.col("slot")).select(F.col("path").alias(at), F.col("out").alias(out), F.col("key").alias(key))
+            dealt = rows.join(dealt_to, at).drop(at).repartition(n, key).drop(key)
+            dealt.write.option("compression", "zstd").partitionBy(out).parquet(folder)
             rest = self.manifest(v).join(groups.select("path"), "path", "left_anti")
-            self._commit(v, rest.unionByName(self._written(folder)))
-            self.vacuum(keep)
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Remove manifests but the newest `keep`, and files that none of those lists."""
-        every = self.versions()
-        old, kept = every[:-keep], every[-keep:]
-        live = self.manifest(kept[0]).select("path") if kept else None
-        for v in kept[1:]:
-            live = live.union(self.manifest(v).select("path"))
-        if old:
-            gone = self.manifest(old[0]).select("path")
-            for v in old[1:]:
-                gone = gone.union(self.manifest(v).select("path"))
-            for r in gone.distinct().join(live, "path", "left_anti").toLocalIterator():
-                delete(self.spark, r.path)
-            for v in old:
+            written = self._written(folder)
+            had, has = (x.agg(F.sum("rows")).first()[0] or 0 for x in (self.manifest(v).join(groups.select("path"), "path", "left_semi"), written))
+            if had != has:
+                raise RuntimeError(f"{had} rows were to be merged and {has} were written; version {v} stays")
+            self._commit(v, rest.unionByName(written))
+
+    def vacuum(self, keep: int = 1, older_than: float = KEEP_SECONDS) -> None:
+        """Remove manifests but the newest `keep`, then shards that no manifest lists, such as those of failed appends. What
+        was written in the last `older_than` seconds stays, as readers and writers may still use it."""
+        fs, folder = hadoop(self.spark, f"{self.path}/manifests")
+        limit = (time.time() - older_than) * 1000
+        written = {int(x.getPath().getName()[1:]): x.getModificationTime() for x in fs.listStatus(folder)} if fs.exists(folder) else {}
+        for v in sorted(written)[: -keep or None]:
+            if written[v] <= limit:
                 delete(self.spark, f"{self.path}/manifests/v{v:08d}")
+        live = {p.rsplit("/shards/", 1)[1].split("/")[0] for v in self.versions() for p in (r.path for r in self.manifest(v).select("path").collect())}
+        _, shards = hadoop(self.spark, f"{self.path}/shards")
+        for x in fs.listStatus(shards) if fs.exists(shards) else []:
+            # An append or a merge has a folder of its own, which goes as a whole.
+            if x.getPath().getName() not in live and x.getModificationTime() <= limit:
+                delete(self.spark, x.getPath().toString())

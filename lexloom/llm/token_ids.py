@@ -22,7 +22,7 @@ from .files import open_new, open_old
 from .scratch import Scratch, small_batches
 from .tokenizing import encoder, runs
 
-BLOCK, CHUNK_IDS, MAGIC, END_ID, PERCENTILE = 128, 1 << 20, b"LXPF0001", 2, 90
+BLOCK, CHUNK_IDS, MAGIC, END_ID, PERCENTILE, FILE_CHARS = 128, 1 << 20, b"LXPF0001", 2, 90, 1 << 28
 
 
 def _pack(v: np.ndarray, width: int) -> np.ndarray:
@@ -102,6 +102,19 @@ def decode_chunk(data: bytes) -> np.ndarray:
     return (v + low[:, None]).reshape(-1)[:n]
 
 
+def decode_block(data: bytes, k: int) -> np.ndarray:
+    """Block k of a chunk alone, by the table of starts; of the rest only the exception counts before it are read."""
+    n, blocks, _ = struct.unpack_from("<QII", data)
+    low, width = np.frombuffer(data, "<u4", blocks, 16), np.frombuffer(data, "u1", blocks, 16 + 4 * blocks)
+    many, start = np.frombuffer(data, "u1", blocks, 16 + 5 * blocks).astype(np.int64), np.frombuffer(data, "<u8", blocks, 16 + 6 * blocks)
+    body, w, before, odd = 16 + 14 * blocks, int(width[k]), int(many[:k].sum()), int(many.sum())
+    v = _unpack(np.frombuffer(data, "<u4", w * BLOCK // 32, body + int(start[k])).reshape(-1, max(w, 1)), w).reshape(-1) if w else np.zeros(BLOCK, np.uint32)
+    lists = body + int(width.astype(np.int64).sum()) * (BLOCK // 8)
+    place, high = np.frombuffer(data, "u1", many[k], lists + before), np.frombuffer(data, "<u4", many[k], lists + odd + 4 * before)
+    v[place] |= high << np.uint32(w)
+    return (v + low[k])[: max(0, min(BLOCK, n - k * BLOCK))]
+
+
 class Writer:
     """Writes one file; add() documents in order, then close()."""
 
@@ -198,7 +211,10 @@ def write_token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     small_batches(docs.sparkSession)
     s = Scratch(docs.sparkSession, "token-ids")
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    # Files of about FILE_CHARS characters, so that no task holds more than its documents' numbers and one chunk.
+    size = d.agg(F.sum(F.length("text") + 16)).first()[0] or 0
+    files = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_CHARS))
+    d = d.withColumn("tie", F.xxhash64("text")).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     found = d.select("doc_id", "text").mapInArrow(_write(tokenizer, s.at("files")), "part long, path string, n_docs long, n_ids long")
     manifest = s.cut(found, "manifest")
     # One row per file: a running sum in one task.
@@ -220,6 +236,8 @@ def _read(batches):
 
 
 def read_token_ids(manifest: DataFrame) -> DataFrame:
-    """One row per document: doc_id, start (ids before it in all files), n_tokens, ids_crc32, decoded from the files."""
+    """One row per document: doc_id, start (ids before it in all files), n_tokens, ids_crc32, decoded from the files.
+
+    manifest: path and first of each file; an empty one gives no rows, extra columns are not read, null ids stay null."""
     files = manifest.select("path", "first")
     return files.repartition(max(1, files.count())).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -194,7 +194,7 @@ def http_payload(headers: dict[str, str], block: bytes) -> tuple[bytes, int]:
     return body, len(body)
 
 
-_FIELDS = "path string, offset long, stop long, record_type string, record_id string, refers_to string, uri string, digest string, stated long, n long, sha1 string"
+_FIELDS = "path string, start long, offset long, stop long, record_type string, record_id string, refers_to string, uri string, digest string, stated long, n long, sha1 string"
 
 
 def _read(with_payload: bool):
@@ -209,7 +209,7 @@ def _read(with_payload: bool):
                         h, block = parse(data)
                         body, stated = http_payload(h, block)
                         sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
-                        rows.append((path, a, b, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), stated, len(body), sha, *[body] * with_payload))
+                        rows.append((path, start, a, b, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), stated, len(body), sha, *[body] * with_payload))
                         held += len(body) if with_payload else 200
                         if held > 1 << 21:
                             yield _batch(names, rows)
@@ -221,20 +221,24 @@ def _read(with_payload: bool):
 
 
 def _batch(names, rows):
-    kinds = {"offset": pa.int64(), "stop": pa.int64(), "stated": pa.int64(), "n": pa.int64(), "payload": pa.binary()}
+    kinds = {"start": pa.int64(), "offset": pa.int64(), "stop": pa.int64(), "stated": pa.int64(), "n": pa.int64(), "payload": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.string())) for k, c in zip(names, zip(*rows))], names=names)
 
 
 def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
     """Records of the files listed in files(path, bytes): place, type, ids, uri, stated and computed digest and length.
 
-    Only gzip members are records; broken ones are skipped. An empty list gives no rows. payload comes if asked for.
+    Only gzip members are records; broken ones are skipped. An empty list gives no rows, a path that is null or can't be
+    opened fails. payload comes if asked for. Extra columns are not read; a file listed twice is read twice.
     """
     spark = files.sparkSession
     s = Scratch(spark, "warc-read")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("bytes") - 1), F.lit(split_bytes).cast("long"))
     ranges = s.cut(files.select("path", F.explode(starts).alias("start")).withColumn("end", F.col("start") + split_bytes), "ranges")
     schema = _FIELDS + ", payload binary" * with_payload
-    found = ranges.repartition(max(1, ranges.count()), "path", "start").mapInArrow(_read(with_payload), schema)
-    before = F.max("stop").over(Window.partitionBy("path").orderBy("offset", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn("before", before).filter("before IS NULL OR offset >= before").drop("before")
+    found = s.cut(ranges.repartition(max(1, ranges.count()), "path", "start").mapInArrow(_read(with_payload), schema), "found", "zstd")
+    # A range's records that lie in one that an earlier range owns begin before that one's end; a row per range tells it.
+    ends = found.groupBy("path", "start").agg(F.max("stop").alias("last"))
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("path", "start", F.max("last").over(earlier).alias("before"))
+    return found.join(ends, ["path", "start"]).filter("before IS NULL OR offset >= before").drop("before", "start")

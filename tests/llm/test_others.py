@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import media, quality, secret_scan, warc
+from lexloom.llm import media, quality, secret_scan, textkernel, warc
 from lexloom.llm.sharding import ConflictError, ShardStore
 
 from .hard import frame, rows
@@ -186,4 +186,81 @@ def test_quality_frames(spark, monkeypatch):
     long = {r.text: r.score for r in out if r.text and len(r.text) > 4000}
     assert len(long) == 2 and all(abs(m.scores(pa.array([t]))[0] - s) < 1e-12 for t, s in long.items())
     assert quality.score(frame(spark, empty=True), m, keep=["doc_id"]).count() == 0
-    assert quality.train(labelled.filter("false")).scores(pa.array(["x"])).tolist() == [0.5] or True
+    assert quality.train(labelled.filter("false")).table.shape == m.table.shape
+    names = "text_ Score_ batch label keep".split()
+    wide = spark.createDataFrame([(1, "a b", 0.25, 7, *names), (2, None, 0.5, 8, *names)], "doc_id long, text string, Score double, PREDICTED int, " + ", ".join(f"`{n}` string" for n in names))
+    assert quality.score(wide, m).columns == ["doc_id", "text", *names, "score", "predicted"]
+    assert sorted(map(tuple, quality.accepted(wide, m, threshold=0.0).collect())) == sorted(map(tuple, wide.collect())) and quality.accepted(wide, m, threshold=1.1).count() == 0
+
+
+def naive_score(model, text):
+    """Words, repeated words and byte n-grams one by one, averaged, then the two-class softmax."""
+    data = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", data)
+    hashed = lambda w: int(textkernel.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]), lower=False)[0][0])
+    buckets = [hashed(w) >> 48 for w in words] + [quality.REPEAT for a, b in zip(words, words[1:]) if a == b]
+    for n, odd in quality._GRAMS:
+        for i in range(len(data) - n + 1):
+            h = int.from_bytes(data[i : i + n], "big") & 0xFFFFFFFF
+            buckets.append(((h + n) * odd & 0xFFFFFFFF) >> 16)
+    mean = sum(int(model.table[b]) for b in buckets) / (quality._SCALE * max(1, len(buckets)))
+    return 1 / (1 + math.exp(-(model.bias + mean)))
+
+
+def test_quality_is_the_naive_score():
+    rng = np.random.default_rng(2)
+    m = quality.Model(rng.integers(-(1 << 18), 1 << 18, quality.REPEAT + 1), 0.3)
+    texts = [t or "" for _, t in rows()]
+    got = m.scores(pa.array(texts))
+    assert all(abs(g - naive_score(m, t)) < 1e-9 for g, t in zip(got, texts))
+
+
+def naive_feature(payload):
+    """The samples' resampling sum by sum, every frame's transform and mel bands, and the segments, without blocks."""
+    x, h = np.frombuffer(payload, np.uint8).astype(int) - 128, media.phases()
+    n = -(-len(x) * 5 // 8)
+    frames = max(1, math.ceil((n - 256) / 128) + 1) if n > 256 else 1
+    y = [sum(h[(k * 8) % 5][j] * x[(k * 8) // 5 - j] for j in range(16) if 0 <= (k * 8) // 5 - j < len(x)) for k in range(frames * 128 + 256)]
+    y = (np.array(y) / (1 << 21)).astype(np.float32)
+    bank, w = media.mel_bank(5000), np.array([0.5 - 0.5 * math.cos(2 * math.pi * k / 256) for k in range(256)], np.float32)
+    power = [np.abs(np.fft.rfft(y[k * 128 : k * 128 + 256] * w)) ** 2 @ bank for k in range(frames)]
+    energy, on, start, segs = [10 * math.log10(p.sum() + 1e-10) for p in power], False, 0, []
+    mid = np.median(energy)
+    for k, e in enumerate(energy):
+        if not on and e > mid + 1.5:
+            on, start = True, k
+        elif on and e < mid - 1.5:
+            on = False
+            segs.append((start, k))
+    return np.array([10 * np.log10(p + 1e-10) for p in power]), energy, segs + ([(start, frames)] if on else [])
+
+
+def test_audio_features_are_the_naive_ones():
+    r = random.Random(4)
+    for size in (64, 640, 2560, 6400):
+        payload = bytes(r.choice(b"etaoin shrdlu\n") for _ in range(size - 10)) + b"\0" * 10
+        mel, energy = media.log_mel(np.frombuffer(payload, np.uint8))
+        want, loud, segs = naive_feature(payload)
+        assert mel.shape == want.shape and np.abs(mel - want).max() < 1e-2 and np.abs(energy - loud).max() < 1e-3
+        assert media.segments(np.array(energy, float)) == segs
+
+
+def test_stores_of_audio_are_written_once(spark):
+    found = media.audio_features(media.store_audio(frame(spark)))
+    assert {r.tensors for r in found.collect()} == {r.tensors for r in found.collect()}
+
+
+def test_old_readers_strange_paths_and_orphans(spark, tmp_path):
+    df = frame(spark)
+    store = ShardStore(spark, f"file://{tmp_path}/a store+x", df.schema, target_bytes=60_000, tier_bytes=2000, fanout=2)
+    for k in range(4):
+        store.append(df.filter(F.coalesce(F.pmod("doc_id", F.lit(4)), F.lit(0)) == k))
+    before, v = store.read(), store.version()
+    orphan = tmp_path / "a store+x" / "shards" / "left"
+    orphan.mkdir()
+    store.compact(2)
+    assert before.count() == df.count() and store.read(v).count() == df.count() and store.read().exceptAll(df).count() == 0
+    store.vacuum()
+    assert orphan.exists() and store.versions()[0] == 1
+    store.vacuum(1, older_than=-5)
+    assert not orphan.exists() and store.versions() == [store.version()] and store.read().count() == df.count()

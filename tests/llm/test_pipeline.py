@@ -2,16 +2,20 @@
 
 import os
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
+import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline as C
 
 from .hard import frame, rows
 from .test_exact_and_near import brute
-from .test_others import added, base
+from .test_others import redacted
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -35,9 +39,21 @@ def test_run_is_brute_force(spark):
     got = C.run(spark, SF).collect()
     assert {r.doc_id for r in got} == kept
     texts = {i: t for t, i in unique.items() if i in kept}
-    hits = [i for i, t in texts.items() if base(t) or added(t)]
-    redacted = {r.doc_id: r.text for r in C.secret_scans(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), SF).collect()}
-    assert all((redacted[i] != t) == (i in hits) for i, t in texts.items())
+    tokenizer, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), set()
+    for i, t in texts.items():
+        ids = np.array(tokenizer.encode(redacted(t), add_special_tokens=False).ids + [2], "<u4")
+        n = len(ids)
+        cuts = [0, *range(n % 1024 or 1024, n + 1, 1024)] if n > 1024 else [0, n]
+        want |= {(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in places.values():
+        ends = [a + n for a, n in sorted(pieces)]
+        assert [a for a, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 1024
+    marked = {r.doc_id: r.text for r in C.secret_scans(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), SF).collect()}
+    assert marked == {i: redacted(t) for i, t in texts.items()}
 
 
 @pytest.mark.parametrize("stage", [f for _, f in C.STAGES], ids=[n for n, _ in C.STAGES])

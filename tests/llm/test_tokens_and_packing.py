@@ -111,7 +111,10 @@ def test_plan_places_every_length_once(histogram):
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=700), st.integers(1, 100))
 def test_blocks_round_trip(values, percentile):
     v = np.array(values, np.uint32)
-    assert (T.decode_chunk(T.encode_chunk(v, percentile)) == v).all()
+    data = T.encode_chunk(v, percentile)
+    assert (T.decode_chunk(data) == v).all()
+    for k in range(-(-len(v) // T.BLOCK)):
+        assert (T.decode_block(data, k) == v[k * T.BLOCK : (k + 1) * T.BLOCK]).all()
 
 
 def test_token_files(spark, tmp_path):
