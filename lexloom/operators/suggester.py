@@ -9,7 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+
 from lexloom.functions.casing import ALL, INIT, MIXED, MIXED_INIT, NONE
+from lexloom.functions.grams import Beginnings, GramIndex
 from lexloom.functions.phonetic import Phonetic
 from lexloom.functions.similar import ANY_MISMATCH, LONGER_WORSE, common_positions, lcs_length, left_common, ngram_score
 from lexloom.sources.rules import ONLY_UPCASE, Affix, Entry
@@ -299,6 +302,20 @@ class Suggester(Engine):
     def _score_low(self, n: int, word: str, other: str, penalty: str, low) -> int:
         return ngram_score(n, word, low(other), penalty) + left_common(word, other, low, self.rtl)
 
+    @property
+    def _roots(self) -> "_RootIndex":
+        if "_rooted" not in self.__dict__:
+            self._rooted = _RootIndex(self)
+        return self._rooted
+
+    def _scores_one_by_one(self, word: str, own, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """For words beyond the basic plane, whose bytes are compared."""
+        out = np.zeros(len(self._walk), np.int64)
+        for k, e in enumerate(self._walk):
+            hint = _field(e.morph, "ph:")
+            out[k] = max(self._score_low(3, word, own(x), LONGER_WORSE, str) for x in ([e.word, hint] if hint is not None else [e.word]))
+        return out, self._roots.wanted(kind)
+
     def similar(self, found: _List, word: str, kind: int) -> None:
         """Add the words whose letters are most like the word's, and those that sound like it."""
         if self.rtl:
@@ -309,24 +326,20 @@ class Suggester(Engine):
         low = str if wide else self.case.lower
         word = own(word)
         n = len(word)
-        refused = {self.forbidden_flag, ONLY_UPCASE, self.nosuggest, self.nongramsuggest, self.onlyincompound} - {0}
         sound = self.phonetic
-        target = sound.code(self.case.upper(word)) if sound else ""
         roots, heard = _Slots(MOST_ROOTS), _Slots(MOST_ROOTS)
-        german = self.lang.startswith("de")
-        for e in self._walk:
-            w = e.word
-            hint = _field(e.morph, "ph:")
-            if abs(n - len(w)) > 4 and not wide or e.flags & refused:
-                continue
-            if kind == NONE and self.case.kind(w) == INIT and not sound and not german and hint is None:
-                continue
-            score = self._score_low(3, word, own(w), LONGER_WORSE, low)
-            if hint is not None:
-                score = max(score, self._score_low(3, word, own(hint), LONGER_WORSE, low))
-            roots.offer(score, e)
-            if sound and score > 2 and abs(n - len(w)) <= 3:
-                heard.offer(2 * ngram_score(3, target, sound.code(self.case.upper(w)), LONGER_WORSE), w)
+        index = self._roots
+        score, open_ = index.scores(word, kind, wide) if not wide else self._scores_one_by_one(word, own, kind)
+        near = open_ & (np.abs(n - index.size) <= 4) if not wide else open_
+        walk = self._walk
+        for k in roots.better(score, np.flatnonzero(near)):
+            roots.offer(int(score[k]), walk[k])
+        if sound:
+            at = np.flatnonzero(near & (score > 2) & (np.abs(n - index.size) <= 3))
+            if len(at):
+                alike = 2 * index.sounds.scores(sound.code(self.case.upper(word)))
+                for k in heard.better(alike, at):
+                    heard.offer(int(alike[k]), walk[k].word)
         if not roots.used and not heard.used:
             return
         least = 0
@@ -560,6 +573,35 @@ class Suggester(Engine):
             at += len(part) + 1
 
 
+class _RootIndex:
+    """The lexicon in walking order, indexed: what a word's score with every entry is, and which entries count."""
+
+    def __init__(self, e: Suggester):
+        walk, low = e._walk, e.case.lower
+        words, hints = [x.word for x in walk], [_field(x.morph, "ph:") for x in walk]
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.grams, self.starts = GramIndex([low(w) for w in words]), Beginnings(words, low, e.rtl)
+        self.hinted = np.array([k for k, h in enumerate(hints) if h is not None], np.int64)
+        told = [h for h in hints if h is not None]
+        self.hint_grams, self.hint_starts = GramIndex([low(h) for h in told]), Beginnings(told, low, e.rtl)
+        if e.phonetic:
+            self.sounds = GramIndex([e.phonetic.code(e.case.upper(w)) for w in words])
+        refused = {e.forbidden_flag, ONLY_UPCASE, e.nosuggest, e.nongramsuggest, e.onlyincompound} - {0}
+        self.free = np.array([not x.flags & refused for x in walk], bool)
+        # Capitalised entries are no candidates for words in small letters, unless sounds or hints are used, or in German.
+        names = e.phonetic is None and not e.lang.startswith("de")
+        self.small = self.free & ~np.array([names and h is None and e.case.kind(w) == INIT for w, h in zip(words, hints)], bool)
+
+    def wanted(self, kind: int) -> np.ndarray:
+        return self.small if kind == NONE else self.free
+
+    def scores(self, word: str, kind: int, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+        out = self.grams.scores(word) + self.starts.common(word)
+        if len(self.hinted):
+            out[self.hinted] = np.maximum(out[self.hinted], self.hint_grams.scores(word) + self.hint_starts.common(word))
+        return out, self.wanted(kind)
+
+
 class _Slots:
     """The best items by score. A new one takes the place of the first of the lowest, if it is better than that."""
 
@@ -569,11 +611,18 @@ class _Slots:
     def offer(self, score: int, item) -> None:
         if score > self.scores[self.low]:
             self.scores[self.low], self.items[self.low], self.used = score, item, True
-            least, at = score, self.low
-            for k, s in enumerate(self.scores):
-                if s < least:
-                    least, at = s, k
-            self.low = at
+            least = min(self.scores)
+            if least < score:
+                self.low = self.scores.index(least)
+
+    def better(self, score: np.ndarray, at: np.ndarray) -> Iterator[int]:
+        """Of the places `at`, those whose score beats the lowest slot's when their turn comes."""
+        step = 512
+        for i in range(0, len(at), step):
+            part = at[i : i + step]
+            for k in part[score[part] > self.scores[self.low]].tolist():
+                if score[k] > self.scores[self.low]:
+                    yield k
 
     def rows(self):
         return zip(self.scores, self.items)
