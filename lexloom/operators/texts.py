@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +40,25 @@ def tokens(docs: DataFrame, id_col: str, text_col: str, fmt: str = "text", wordc
     return d.mapInArrow(run, f"`{id_col}` {kind}, tokens {TOKENS}").select(id_col, F.explode("tokens").alias("t")).select(id_col, "t.word", "t.offset", "t.line", "t.column")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed in the session's shared folder, or, where none is set, kept on the executors' disks."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist(StorageLevel.DISK_ONLY)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def misspellings(docs: DataFrame, d: Dictionary, id_col: str, text_col: str, fmt: str = "text", suggest: bool = False, urls: bool = False) -> DataFrame:
     """The wrong tokens of texts with their places, and suggestions if asked for. Each distinct word is checked once; a
     word with typographic apostrophes is right if it is with plain ones."""
-    found = tokens(docs, id_col, text_col, fmt, d.wordchars, urls)
+    found = kept(tokens(docs, id_col, text_col, fmt, d.wordchars, urls))  # read by up to three joins
     plain = F.translate(F.replace(F.col("word"), F.lit("&apos;"), F.lit("'")), "’", "'")
     found = found.withColumn("plain", plain)
-    words = found.select("word").union(found.select("plain")).distinct()
-    verdict = check(words, d).select("word", "correct")
-    bad = verdict.filter("NOT correct").select("word")
+    words = found.select(F.explode(F.array_distinct(F.array("word", "plain"))).alias("word")).distinct()
+    bad = kept(check(words, d).filter("NOT correct").select("word"))
     wrong = found.join(bad, "word", "left_semi").join(bad.withColumnRenamed("word", "plain"), "plain", "left_semi").drop("plain")
     if suggest:
         wrong = wrong.join(ask(wrong.select("word"), d, "suggest"), "word")

@@ -29,6 +29,12 @@ def _verdicts(spark: SparkSession, tokens: DataFrame) -> DataFrame:
     return check(tokens.select("word"), mini.dictionary()).select("word", "correct")
 
 
+def _counts(tokens: DataFrame, key: str) -> DataFrame:
+    """How often each word stands in each text. The filter holds for all rows; for it every reader needs the count, so that
+    readers share one exchange, and texts are read and cut into words once."""
+    return tokens.groupBy(key, "word").agg(F.count("*").alias("n")).filter("n > 0")
+
+
 def _long(c: Column, name: str) -> Column:
     return c.cast("long").alias(name)
 
@@ -65,16 +71,16 @@ def spell_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spell_misspelled_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = _tokens(_table(spark, sf_dir, "documents"), "doc_id")
-    counts = tokens.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    counts = _counts(tokens, "doc_id")
     wrong = F.sum(F.when(F.col("correct"), 0).otherwise(F.col("n")))
-    return counts.join(_verdicts(spark, tokens), "word").groupBy("doc_id").agg(_long(F.sum("n"), "n_tokens"), _long(wrong, "n_wrong"))
+    return counts.join(_verdicts(spark, counts), "word").groupBy("doc_id").agg(_long(F.sum("n"), "n_tokens"), _long(wrong, "n_wrong"))
 
 
 def spell_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     tokens = _tokens(docs.withColumnRenamed("lang", "key"), "key")
-    counts = tokens.groupBy("key", "word").agg(F.count("*").alias("n"))
-    return counts.join(_verdicts(spark, tokens), "word").groupBy(F.col("key").alias("lang")).agg(_long(F.sum("n"), "n_tokens"), _long(F.sum(F.when(F.col("correct"), F.col("n")).otherwise(0)), "n_right"))
+    counts = _counts(tokens, "key")
+    return counts.join(_verdicts(spark, counts), "word").groupBy(F.col("key").alias("lang")).agg(_long(F.sum("n"), "n_tokens"), _long(F.sum(F.when(F.col("correct"), F.col("n")).otherwise(0)), "n_right"))
 
 
 def wrong_words_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,6 +303,10 @@ def oracle_sql() -> dict[str, str]:
     letters = "(SELECT unnest(string_split(" + mini._value(mini.TRY) + ", '')) AS c)"
     return {
         "tokens_per_doc": f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_words FROM (SELECT doc_id, regexp_extract_all(text, '{rx}') AS w FROM documents)",
+        "token_places": f"""WITH lists AS (SELECT conv_id, turn, regexp_split_to_array(text, '{rx}') AS gaps, regexp_extract_all(text, '{rx}') AS words FROM conversations),
+            tokens AS (SELECT conv_id, turn, length(unnest(words)) AS n, length(unnest(gaps[:len(words)])) AS gap, generate_subscripts(words, 1) AS k FROM lists WHERE len(words) > 0),
+            placed AS (SELECT conv_id, turn, sum(gap + n) OVER (PARTITION BY conv_id, turn ORDER BY k) - n AS start FROM tokens)
+            SELECT conv_id, turn, count(*) AS n_tokens, max(start)::BIGINT AS last_start, sum(start)::BIGINT AS sum_start FROM placed GROUP BY conv_id, turn""",
         "case_kinds": f"WITH {docs}, words AS (SELECT DISTINCT word FROM tokens) SELECT kind, count(*) AS n_words FROM (SELECT {mini.SQL_KIND} AS kind FROM words) GROUP BY kind",
         "number_words": f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]')) AS word FROM documents) WHERE regexp_matches(word, '{NUMBER}') GROUP BY word",
         "spell_words": f"WITH {docs}, {forms}, {verdict} SELECT word, correct FROM verdict",
