@@ -119,9 +119,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+#: The answer to a group of equal payloads is its least page_id; a payload's SHA-1 is written in base 32, five hex digits
+#: as four letters.
+SQL_OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS hexed, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+n AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(hexed, CAST(5 * k + 1 AS INT), 5))::BIGINT) AS parts FROM d)
+SELECT page_id, payload_bytes,
+    array_to_string(flatten(list_transform(parts, lambda x: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> s) & 31 AS INT) + 1, 1)))), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM n
+"""
+
+#: Sets of shingles as lists, links of documents by an exact count of common ones, and the least id reachable.
+SQL_OP3 = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS class, len(any_value(s)) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+grams AS (SELECT class, n, unnest(s) AS g FROM classes),
+pairs AS (SELECT a.class AS x, b.class AS y FROM grams a JOIN grams b ON a.g = b.g AND a.class < b.class AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+    GROUP BY a.class, b.class HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT class AS x, class AS y FROM classes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x AS class, min(y) AS component_id FROM reach GROUP BY x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN classes c ON list_sort(s.s) = c.s LEFT JOIN least USING (class)
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_warc, op2_sharding, op3_ngram_jaccard, op4_audio, op5_exact_dedup, op6_best_fit_packing, op7_token_ids, op8_sentencepiece, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": SQL_OP2, "op5_exact_dedup": SQL_OP5}
+    return {"op1_warc": SQL_OP1, "op2_sharding": SQL_OP2, "op3_ngram_jaccard": SQL_OP3, "op5_exact_dedup": SQL_OP5}
