@@ -81,6 +81,9 @@ class Phonetic:
                 continue
             n = found.length
             if found.again and not fresh_loop(found, word, i):
+                # What comes back is coded anew, so a last letter of the code that it would repeat goes.
+                if out and found.out and out[-1] in (word[i], found.out[0]):
+                    out.pop()
                 word = word[:i] + found.out + word[i + n - found.back if found.back < n else i + n :]
                 if not found.out:
                     continue

@@ -6,7 +6,7 @@ tags, comments, arguments and the like may go over line ends.
 
 from __future__ import annotations
 
-import html.entities
+import html
 import re
 from dataclasses import dataclass
 
@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from lexloom.functions.arrays import placed_matches, quoted
 
 APOSTROPHES = ("'", "’")
-#: Entities that stand for Latin-1 letters count as letters of a word.
-LATIN_ENTITIES = "|".join(sorted(n for n, c in html.entities.name2codepoint.items() if 0xC0 <= c <= 0xFF and chr(c).isalpha()))
+#: The entities whose letters count as letters of a word. Other entities end a word.
+WORD_ENTITIES = (
+    "Agrave", "Atilde", "Aring", "AElig", "Egrave", "Ecirc", "Igrave", "Iuml", "ETH", "Ntilde", "Ograve", "Oslash", "Ugrave", "THORN",
+    "agrave", "atilde", "aring", "aelig", "egrave", "ecirc", "igrave", "iuml", "eth", "ntilde", "ograve", "oslash", "ugrave", "thorn", "yuml",
+)
+LATIN_ENTITIES = "|".join(WORD_ENTITIES)
 
 #: Elements whose text is not checked, and attributes that are.
 HTML_SKIPPED = ("script", "style", "code", "samp", "kbd", "var", "listing", "address", "pre")
@@ -156,7 +160,8 @@ def _arguments_end(text: str, i: int, n: int) -> int:
 
 def blank_latex(text: str, wordchars: str = "") -> str:
     """LaTeX: comments, commands, mathematics, verbatim text and the arguments that hold no prose."""
-    low, out, i, kept = text.lower(), [], 0, 0
+    # Only A-Z, so that places stay: some letters have longer small forms.
+    low, out, i, kept = re.sub("[A-Z]+", lambda m: m[0].lower(), text), [], 0, 0
 
     def skip(to: int) -> None:
         nonlocal kept, i

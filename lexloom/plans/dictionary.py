@@ -204,11 +204,27 @@ class DictionaryCache:
         return len(self._held)
 
 
-def search_paths(extra: str = "") -> list[str]:
-    """Folders to look for dictionaries in: those named in DICPATH, then the usual ones, each once."""
-    usual = ["/usr/share/hunspell", "/usr/share/myspell", "/usr/share/myspell/dicts", "/Library/Spelling"]
-    found = [p for p in [*extra.split(os.pathsep), *os.environ.get("DICPATH", "").split(os.pathsep), ".", *usual] if p]
-    return list(dict.fromkeys(found))
+#: The folder inside each data folder, the usual system folders, and where office extensions are installed.
+DATA_SUBFOLDER = "hunspell"
+SYSTEM_FOLDERS = ("/usr/share/hunspell", "/usr/share/myspell", "/usr/share/myspell/dicts", "/Library/Spelling")
+HOME_FOLDERS = ("Library/Spelling",)
+OFFICE_FOLDERS = ("/opt/libreoffice/share/extensions", "/usr/lib/libreoffice/share/extensions", "/usr/lib64/libreoffice/share/extensions")
+DEFAULT_DATA_FOLDERS = "/usr/local/share:/usr/share"
+
+
+def search_paths(extra: str = "", office: tuple[str, ...] = OFFICE_FOLDERS) -> list[str]:
+    """Folders to look for dictionaries in, each once: those given and the current one, those named in DICPATH, the user's
+    and the system's data folders, the usual folders, and the dict-* folders of office extensions, sorted."""
+    env, home = os.environ, os.path.expanduser("~")
+    own = env.get("XDG_DATA_HOME", "")
+    data = [own] if os.path.isabs(own) else [os.path.join(home, ".local", "share")] if home != "~" else []
+    data += [d for d in (env.get("XDG_DATA_DIRS") or DEFAULT_DATA_FOLDERS).split(os.pathsep) if os.path.isabs(d)]
+    found = [*extra.split(os.pathsep), ".", *env.get("DICPATH", "").split(os.pathsep), *(os.path.join(d, DATA_SUBFOLDER) for d in data), *SYSTEM_FOLDERS]
+    found += [os.path.join(home, d) for d in HOME_FOLDERS if home != "~"]
+    for folder in office:
+        if os.path.isdir(folder):
+            found += sorted(p for d in os.listdir(folder) if d.startswith("dict-") and os.path.isdir(p := os.path.join(folder, d)))
+    return list(dict.fromkeys(p for p in found if p))
 
 
 def available(paths: list[str]) -> list[str]:

@@ -22,7 +22,7 @@ def test_apostrophes():
 
 
 def test_markup():
-    assert words('<p>one<!-- two --> <script>x()</script><img alt="three" src="four"> &amp; caf&eacute;</p>', "html") == ["one", "three", "caf&eacute;"]
+    assert words('<p>one<!-- two --> <script>x()</script><img alt="three" src="four"> &amp; caf&eacute; voil&agrave;</p>', "html") == ["one", "three", "caf", "voil&agrave;"]
     assert words("<a b='c'>one</a>", "xml") == ["one"]
     assert words("<text:p>hel<text:span a='1'>lo</text:span> x</text:p>", "odf") == ["hello", "x"]
     assert words(".SH NAME foo\n.B bar\nsome \\fBbold\\fR", "man") == ["NAME", "foo", "bar", "some", "bold"]
