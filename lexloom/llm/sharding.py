@@ -112,10 +112,11 @@ class ShardStore:
         ids = self.spark.range(20 * n + 20).select(F.col("id").cast("int").alias("key"))
         return ids.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("slot")).agg(F.min("key").alias("key"))
 
-    def compact(self, least: int | None = None) -> int:
+    def compact(self, least: int | None = None, older_than: float = KEEP_SECONDS) -> int:
         """Merge tier by tier until no tier has `least` shards (fanout if not given, 2 at least); returns the version.
 
-        A merge is committed only if it wrote as many rows as it read. Old versions stay readable; see vacuum()."""
+        A merge is committed only if it wrote as many rows as it read. Versions that are not older than `older_than` seconds
+        stay readable; see vacuum()."""
         while True:
             v = self.version()
             groups = self.plan(max(2, least or self.fanout)).select("path", "out")
@@ -136,6 +137,7 @@ class ShardStore:
             if had != has:
                 raise RuntimeError(f"{had} rows were to be merged and {has} were written; version {v} stays")
             self._commit(v, rest.unionByName(written))
+            self.vacuum(older_than=older_than)
 
     def vacuum(self, keep: int = 1, older_than: float = KEEP_SECONDS) -> None:
         """Remove manifests but the newest `keep`, then shards that no manifest lists, such as those of failed appends. What
