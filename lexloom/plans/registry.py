@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.casing import kind_col
 from lexloom.functions.similar import LONGER_WORSE, ngram_score_col
-from lexloom.functions.tokens import placed_words_col, words_col
+from lexloom.functions.tokens import LATIN_ENTITIES, placed_words_col, words_col
 from lexloom.operators import frames, texts
 from lexloom.plans import mini
 from lexloom.plans.relational import NUMBER, Plan, check
@@ -288,6 +288,22 @@ def queries() -> dict:
     return {f.__name__: f for f in _QUERIES}
 
 
+#: Tokens of conversations with their places, as tables for a WITH clause: addresses and paths are blanked out, then words
+#: and what lies before each are lined up, and running totals give places.
+_PATH_RX = r"[\p{L}\p{N}/][\p{L}\p{N}_\-\\.:/~%*$\[\]?!@]*"
+_WORD_RX = rf"(?:[\p{{L}}\p{{Nl}}\p{{No}}\x{{300}}-\x{{36F}}]|&(?:{LATIN_ENTITIES});)+"
+_SQL_PLACED = rf"""
+turns AS (SELECT conv_id || ':' || turn AS id, text, regexp_split_to_array(text, '{_PATH_RX}') AS gaps, regexp_extract_all(text, '{_PATH_RX}') AS hits FROM conversations WHERE text IS NOT NULL),
+clean AS (SELECT id, text, array_to_string(list_transform(range(1, len(gaps) + 1), lambda k: gaps[k] || CASE WHEN k > len(hits) THEN '' WHEN starts_with(hits[k], '/') OR contains(hits[k], '@') OR contains(hits[k], '://') OR contains(hits[k], ':\')
+    THEN repeat(' ', length(hits[k])) ELSE hits[k] END), '') AS c FROM turns),
+found AS (SELECT id, text, regexp_extract_all(c, '{_WORD_RX}') AS w, regexp_split_to_array(c, '{_WORD_RX}') AS g FROM clean),
+lined AS (SELECT id, text, unnest(w) AS word, unnest(g[:len(w)]) AS gap, generate_subscripts(w, 1) AS k FROM found WHERE len(w) > 0),
+begun AS (SELECT *, (sum(length(gap) + length(word)) OVER (PARTITION BY id ORDER BY k) - length(word))::BIGINT AS pos FROM lined),
+tokens AS (SELECT id, word, (sum(strlen(substr(text, pos - length(gap) + 1, length(gap))) + strlen(word)) OVER o - strlen(word))::INTEGER AS "offset", (1 + sum(length(gap) - length(replace(gap, chr(10), ''))) OVER o)::INTEGER AS line,
+    (pos - coalesce(max(CASE WHEN contains(gap, chr(10)) THEN pos - length(string_split(gap, chr(10))[-1]) END) OVER o, 0))::INTEGER AS "column" FROM begun WINDOW o AS (PARTITION BY id ORDER BY k))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     t, docs, forms, verdict, rx = mini.sql_tokens, mini.sql_tokens("documents", "doc_id"), mini.SQL_FORMS, mini.SQL_VERDICT, mini.WORD_RX
     bench = t("benchmark", "item_id")
@@ -335,6 +351,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT word, kind, candidate FROM edits WHERE candidate <> word AND candidate IN (SELECT form FROM known)""",
         "rep_candidates": f"""{wrong}, rep(pattern, out) AS (VALUES {mini._rows(mini.REPLACEMENTS)}), made AS (SELECT word, pattern, left(word, i - 1) || out || substr(word, i + length(pattern)) AS candidate
             FROM (SELECT word, pattern, out, unnest(range(1, length(word) + 1))::INT AS i FROM bad, rep) WHERE substr(word, i, length(pattern)) = pattern) SELECT DISTINCT word, pattern, candidate FROM made WHERE candidate IN (SELECT form FROM known)""",
+        "check_texts": f'WITH {_SQL_PLACED}, {forms}, {verdict} SELECT id, word, "offset", line, "column" FROM tokens WHERE word IN (SELECT word FROM verdict WHERE NOT correct)',
+        "stream_check": f'WITH {_SQL_PLACED}, {forms}, {verdict} SELECT id, word, line, "column" FROM tokens WHERE word IN (SELECT word FROM verdict WHERE NOT correct)',
         "word_splits": f"""{wrong}, cuts AS (SELECT word, left(word, i) AS a, substr(word, i + 1) AS b FROM (SELECT word, unnest(range(1, length(word)))::INT AS i FROM bad WHERE length(word) >= 3)) SELECT word, a || ' ' || b AS candidate FROM cuts WHERE a IN (SELECT form FROM known) AND b IN (SELECT form FROM known)""",
         "suffix_forms": f"""WITH {docs}, {forms}, first AS (SELECT * FROM lexicon WHERE no IN (SELECT min(no) FROM lexicon GROUP BY word)) SELECT l.word, l.word || r.app AS form FROM first l JOIN rules r ON r.kind = 'S' AND contains(l.flags, r.flag)
             WHERE l.word IN (SELECT word FROM tokens) AND EXISTS (SELECT 1 FROM lexicon b WHERE b.word = l.word || r.strip AND contains(b.flags, r.flag) AND regexp_matches(b.word, r.cond))""",
