@@ -1,4 +1,4 @@
-"""An index of a word list by n-grams and beginnings, which scores all its words against one word at once.
+"""Indexes of a word list by n-grams and beginnings, which score all its words against one word, or many words, at once.
 
 The scores are those of similar.ngram_score without weights and similar.left_common: a gram of the word that a listed word
 has adds one to it, so only the lists of the grams of the word are read, not the listed words.
@@ -20,17 +20,16 @@ class GramIndex:
         for k, w in enumerate(words):
             for g in {w[i : i + n] for n in range(1, order + 1) for i in range(len(w) - n + 1)}:
                 found.setdefault(g, []).append(k)
-        self.having = {g: np.array(ks, np.int32) for g, ks in found.items()}
+        self.having = {g: np.array(ks, np.intp) for g, ks in found.items()}
 
     def scores(self, word: str) -> np.ndarray:
         """ngram_score(order, word, w, LONGER_WORSE) for every listed word w; 0 for an empty one."""
         n, total, open_ = len(word), np.zeros(len(self.size), np.int64), None
         for k in range(1, self.order + 1):
-            hits = np.zeros(len(self.size), np.int64)
-            for i in range(n - k + 1):
-                rows = self.having.get(word[i : i + k])
-                if rows is not None:
-                    hits[rows] += 1
+            lists = [rows for i in range(n - k + 1) if (rows := self.having.get(word[i : i + k])) is not None]
+            if not lists:
+                break
+            hits = np.bincount(np.concatenate(lists), minlength=len(self.size))
             total += hits if open_ is None else hits * open_
             open_ = (hits >= 2) if open_ is None else open_ & (hits >= 2)
         return np.where(self.size > 0, total - np.maximum(0, self.size - n - 2), 0)
@@ -58,3 +57,45 @@ class Beginnings:
                 break
             out[self.rows[a:b]] += 1
         return out
+
+
+class GramTable:
+    """The parts of GramIndex and Beginnings as tables, for short lists and many words at once."""
+
+    def __init__(self, words: list[str], lower, order: int = 3):
+        small = [lower(w) for w in words]
+        self.size = np.array([len(w) for w in words], np.int16)
+        self.grams = [self._table([{w[i : i + n] for i in range(len(w) - n + 1)} for w in small]) for n in range(1, order + 1)]
+        self.starts = self._table([{x[:n] for x in (w, lower(w[:1]) + w[1:]) for n in range(1, len(x) + 1)} for w in words])
+
+    @staticmethod
+    def _table(parts: list[set[str]]) -> tuple[dict[str, int], np.ndarray]:
+        """Numbers of parts, and whether each (or, in the last row, an unknown one) is in each word."""
+        numbers = {x: k for k, x in enumerate(dict.fromkeys(x for own in parts for x in own))}
+        table = np.zeros((len(numbers) + 1, len(parts)), np.int8)
+        for k, own in enumerate(parts):
+            table[[numbers[x] for x in own], k] = 1
+        return numbers, table
+
+    @staticmethod
+    def _sums(table: tuple[dict[str, int], np.ndarray], parts: list[list[str]]) -> np.ndarray:
+        """How many parts of each word (at most 127) each listed word has."""
+        numbers, rows = table
+        none, longest = len(numbers), max(map(len, parts))
+        ids = np.array([[numbers.get(x, none) for x in own] + [none] * (longest - len(own)) for own in parts], np.intp)
+        out = np.zeros((len(parts), rows.shape[1]), np.int8)
+        for k in range(longest):
+            out += rows[ids[:, k]]
+        return out
+
+    def most(self, words: list[str]) -> np.ndarray:
+        """For every word (a row) and listed word at least ngram_score(len(word), word, w, ANY_MISMATCH) + left_common."""
+        hits = [self._sums(t, [[w[i : i + n] for i in range(len(w) - n + 1)] for w in words]) for n, t in enumerate(self.grams, 1)]
+        total, open_ = hits[0].astype(np.int16), None
+        for before, own in zip(hits, hits[1:]):
+            open_ = before >= 2 if open_ is None else open_ & (before >= 2)
+            total += own * open_
+        last = hits[-1].astype(np.int16) * open_
+        total += last * np.maximum(last - 1, 0) // 2  # each further order has fewer hits than the one before
+        gap = np.abs(np.array([len(w) for w in words], np.int16)[:, None] - self.size) - 2
+        return total - np.maximum(gap, 0) + self._sums(self.starts, [[w[:n] for n in range(1, len(w) + 1)] for w in words])

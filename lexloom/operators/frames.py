@@ -23,14 +23,18 @@ _ANSWERS = {
     "suffix_forms": ("forms array<string>", lambda e, w: (e.suffix_forms(w),)),
     "has_word": ("listed boolean", lambda e, w: (e.has_word(w),)),
 }
+#: What an engine does with a whole batch of words before it is asked for each.
+_BEFORE = {"suggest": lambda e, words: e.look_ahead(words)}
 _KINDS = {"boolean": pa.bool_(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
 
-def _kernel(version: str, payload, fn: Callable, fields: list[tuple[str, str]], inputs: int):
+def _kernel(version: str, payload, fn: Callable, fields: list[tuple[str, str]], inputs: int, before: Callable | None = None):
     def run(batches):
         engine = engine_of(version, payload.value)
         for batch in batches:
             args = [c.to_pylist() for c in batch.columns[:inputs]]
+            if before:
+                before(engine, *args)
             rows = [fn(engine, *a) for a in zip(*args)]
             cols = list(zip(*rows)) if rows else [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([*batch.columns[:inputs], *(pa.array(c, _KINDS[k]) for c, (_, k) in zip(cols, fields))], names=[*batch.schema.names[:inputs], *(n for n, _ in fields)])
@@ -47,7 +51,7 @@ def ask(words: DataFrame, d: Dictionary, what: str, partitions: int | None = Non
     # A few MB of words can be hours of work: a fixed number of tasks, which adaptive execution doesn't merge.
     distinct = distinct.repartition(partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), col)
     payload = spark.sparkContext.broadcast(d.payload)  # a dictionary: some MB, whatever the input
-    return distinct.mapInArrow(_kernel(d.version, payload, fn, fields, 1), f"`{col}` string, {schema}")
+    return distinct.mapInArrow(_kernel(d.version, payload, fn, fields, 1, _BEFORE.get(what)), f"`{col}` string, {schema}")
 
 
 def with_answers(df: DataFrame, col: str, d: Dictionary, what: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from lexloom.functions.grams import Beginnings, GramIndex
 from lexloom.functions.similar import LONGER_WORSE, left_common, ngram_score
 from lexloom.operators import suggester
-from lexloom.plans import invented
+from lexloom.plans import invented, mini
 from lexloom.plans.dictionary import Dictionary
 
 
@@ -47,3 +47,38 @@ def test_suggestions_are_the_scan_s(monkeypatch, head):
     monkeypatch.setattr(suggester._Slots, "better", lambda self, score, at: iter(at.tolist()))
     e.__dict__.pop("_rooted", None)
     assert [e.suggest(w) for w in words] == fast and any(fast)
+
+
+@pytest.mark.parametrize("entries", [40, 150])
+@pytest.mark.parametrize("head", ["", "LANG de_DE\nMAP 1\nMAP ae\n", "COMPOUNDFLAG C\nNOSUGGEST !\n"])
+def test_listed_forms_and_looking_ahead_change_nothing(entries, head):
+    """The same answers as from looking every candidate up through the affixes, word by word."""
+    r = random.Random(entries)
+    aff, dic = invented.files(entries)
+    n, *lines = dic.splitlines()
+    lines = [w.capitalize() if r.random() < 0.1 else w + (r.choice("C!") if "/" in w and r.random() < 0.3 else "") for w in lines] + ["ab cd", "ef-gh", "ka"]
+    fast, slow = (Dictionary.parse(aff + head, "\n".join([n, *lines]) + "\n").engine for _ in range(2))
+    slow.__dict__ |= {"_near": None, "_all_forms": None}
+    base = [x for w in slow.listed() for x in slow.expand(w)]
+    words = ["", ".", "*", "x", "ka*k", "É", "\U0001f600abka"]
+    for _ in range(20 if "COMPOUND" in head else 100):
+        w = list(r.choice(base))
+        for _ in range(r.choice((1, 1, 2, 3))):
+            k, i = r.randrange(5), r.randrange(len(w) + 1)
+            w[i:i] = [r.choice("aeknté-. ")] if k == 0 else [r.choice(w or "a")] if k == 1 else list(r.choice(base)) if k == 2 else []
+            if k > 2 and w:
+                c = w.pop(r.randrange(len(w)))
+                w[i:i] = [c] if k == 3 else []
+        words.append(r.choice((str, str, str.upper, str.capitalize))("".join(w)))
+    fast.look_ahead([*words, None])
+    assert [fast.suggest(w) for w in words] == [slow.suggest(w) for w in words]
+
+
+def test_candidates_are_not_looked_up_one_by_one(monkeypatch):
+    """Edits of a word were hundreds of lookups through all affixes; the forms of a dictionary are now listed once."""
+    e = mini.dictionary().engine
+    words = ["ananreat", "shth", "enthstorha", "moev", "onse"]
+    first, calls = [e.suggest(w) for w in words], []
+    entries = type(e).entries
+    monkeypatch.setattr(type(e), "entries", lambda self, word: calls.append(word) or entries(self, word))
+    assert [e.suggest(w) for w in words] == first and not calls
