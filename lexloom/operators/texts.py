@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.tokens import Token, placed_words_col, replace_tokens, tokenize
+from lexloom.functions.tokens import Token, found_words, placed_words_col, places, replace_tokens, tokenize
 from lexloom.operators.frames import ask
 from lexloom.plans.dictionary import Dictionary, engine_of
 from lexloom.plans.relational import check
@@ -33,8 +34,15 @@ def tokens(docs: DataFrame, id_col: str, text_col: str, fmt: str = "text", wordc
 
     def run(batches):
         for batch in batches:
-            found = [[t.__dict__ for t in tokenize(x, fmt, wordchars, urls)] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _TOKEN)], names=[id_col, "tokens"])
+            words, ends, at = [], [0], [np.zeros((3, 0), np.int64)]
+            for x in batch.column(1).to_pylist():
+                found = found_words(x, fmt, wordchars, urls)
+                words += [w for _, w in found]
+                ends.append(len(words))
+                at.append(np.array(places(x, np.array([i for i, _ in found], np.int64))))
+            numbers = [pa.array(c.astype(np.int32)) for c in np.concatenate(at, axis=1)]
+            rows = pa.StructArray.from_arrays([pa.array(words, pa.string()), *numbers], fields=list(_TOKEN.value_type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows).cast(_TOKEN)], names=[id_col, "tokens"])
 
     kind = d.schema[id_col].dataType.simpleString()
     return d.mapInArrow(run, f"`{id_col}` {kind}, tokens {TOKENS}").select(id_col, F.explode("tokens").alias("t")).select(id_col, "t.word", "t.offset", "t.line", "t.column")
@@ -54,15 +62,27 @@ def kept(df: DataFrame) -> DataFrame:
 def misspellings(docs: DataFrame, d: Dictionary, id_col: str, text_col: str, fmt: str = "text", suggest: bool = False, urls: bool = False) -> DataFrame:
     """The wrong tokens of texts with their places, and suggestions if asked for. Each distinct word is checked once; a
     word with typographic apostrophes is right if it is with plain ones."""
-    found = kept(tokens(docs, id_col, text_col, fmt, d.wordchars, urls))  # read by up to three joins
+    wrong = _wrong(kept(tokens(docs, id_col, text_col, fmt, d.wordchars, urls)), d)  # read by up to three joins
+    if suggest:
+        wrong = wrong.join(ask(wrong.select("word"), d, "suggest"), "word")
+    return wrong.select(id_col, "word", "offset", "line", "column", *["suggestions"] * suggest)
+
+
+def _wrong(found: DataFrame, d: Dictionary) -> DataFrame:
+    """The rows of found whose word is wrong."""
     plain = F.translate(F.replace(F.col("word"), F.lit("&apos;"), F.lit("'")), "’", "'")
     found = found.withColumn("plain", plain)
     words = found.select(F.explode(F.array_distinct(F.array("word", "plain"))).alias("word")).distinct()
     bad = kept(check(words, d).filter("NOT correct").select("word"))
-    wrong = found.join(bad, "word", "left_semi").join(bad.withColumnRenamed("word", "plain"), "plain", "left_semi").drop("plain")
-    if suggest:
-        wrong = wrong.join(ask(wrong.select("word"), d, "suggest"), "word")
-    return wrong.select(id_col, "word", "offset", "line", "column", *["suggestions"] * suggest)
+    return found.join(bad, "word", "left_semi").join(bad.withColumnRenamed("word", "plain"), "plain", "left_semi").drop("plain")
+
+
+def distinct_misspellings(docs: DataFrame, d: Dictionary, id_col: str, text_col: str, fmt: str = "text", urls: bool = False) -> DataFrame:
+    """The distinct wrong words of all texts with their least column and suggestions. Tokens meet in a sum by word, as all
+    else depends on the word alone."""
+    once = tokens(docs, id_col, text_col, fmt, d.wordchars, urls).groupBy("word").agg(F.min("column").alias("column"))
+    wrong = kept(_wrong(kept(once), d))
+    return wrong.join(ask(wrong.select("word"), d, "suggest"), "word")
 
 
 def wrong_words(wrong: DataFrame, id_col: str) -> DataFrame:

@@ -220,7 +220,7 @@ def word_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, d = _table(spark, sf_dir, "documents"), mini.dictionary()
-    wrong = texts.misspellings(docs, d, "doc_id", "text", suggest=True)
+    wrong = texts.distinct_misspellings(docs, d, "doc_id", "text")
     return texts.pipe_lines(wrong, frames.ask(_tokens(docs, "doc_id").select("word"), d, "check"), "doc_id")
 
 

@@ -140,3 +140,13 @@ def test_break_by_joins(spark):
     d = mini.dictionary()
     words = spark.createDataFrame([("one-ate",), ("one-xx",), ("one-ate-move",), ("xx",)], "word string")
     assert {r.word for r in Plan(spark, d).broken(words, ["-"]).collect()} == {"one-ate", "one-ate-move"}
+
+
+def test_answers_and_corrections_keep_words_not_tokens(spark, monkeypatch):
+    """What is kept between steps grows with the distinct words; it was a row a token, more than the documents themselves."""
+    docs = spark.createDataFrame([(k, "Ane one.\nonne moved http://onne/ é onne " * 20) for k in range(5)], "id long, text string")
+    d, sizes, kept = mini.dictionary(), [], texts.kept
+    want = {(r.word, r.column, tuple(r.suggestions)) for r in texts.misspellings(docs, d, "id", "text", suggest=True).groupBy("word").agg(F.min("column").alias("column"), F.first("suggestions").alias("suggestions")).collect()}
+    monkeypatch.setattr(texts, "kept", lambda df: (sizes.append(df.count()), kept(df))[1])
+    assert {(r.word, r.column, tuple(r.suggestions)) for r in texts.distinct_misspellings(docs, d, "id", "text").collect()} == want and want
+    assert max(sizes) <= 5

@@ -46,3 +46,18 @@ def test_columns_agree_with_the_tokenizer(spark):
     texts = ["The été,\nsome texxt a1b", "", "a’b 'c' d"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(words_col(df.t, "'")).collect()] == [words(t, chars="'", urls=True) for t in texts]
+
+
+def test_words_and_places_are_those_of_tokens():
+    import random
+
+    import numpy as np
+
+    from lexloom.functions.tokens import found_words, places, tokenize
+
+    r = random.Random(1)
+    for _ in range(800):
+        x = "".join(r.choice("abÉé́ \n\r/@:\\.&;'’-_1\U0001f600") if r.random() < 0.9 else r.choice(["http://a.b", "&eacute;", "a@b"]) for _ in range(r.randrange(50)))
+        found = found_words(x)
+        at = places(x, np.array([i for i, _ in found], np.int64))
+        assert [(w, *map(int, p)) for (_, w), *p in zip(found, *at)] == [(t.word, t.offset, t.line, t.column) for t in tokenize(x)]
