@@ -102,8 +102,9 @@ def bad_lines(docs: DataFrame, wrong: DataFrame, id_col: str, text_col: str, goo
 
 def correct(docs: DataFrame, d: Dictionary, id_col: str, text_col: str, fmt: str = "text") -> DataFrame:
     """Texts with every wrong token that has suggestions replaced by the first: id, text, changes."""
-    wrong = misspellings(docs, d, id_col, text_col, fmt, suggest=True).filter(F.size("suggestions") > 0)
-    per = wrong.groupBy(id_col).agg(F.collect_list(F.struct("word", "offset", "line", "column", F.col("suggestions")[0].alias("new"))).alias("changes"))
+    new = distinct_misspellings(docs, d, id_col, text_col, fmt).filter(F.size("suggestions") > 0).select("word", F.col("suggestions")[0].alias("new"))
+    wrong = tokens(docs, id_col, text_col, fmt, d.wordchars).join(kept(new), "word")
+    per = wrong.groupBy(id_col).agg(F.collect_list(F.struct("word", "offset", "line", "column", "new")).alias("changes"))
     joined = docs.select(id_col, text_col).join(per, id_col, "left")
     markup = fmt in ("html", "xml", "odf")
 

@@ -149,4 +149,6 @@ def test_answers_and_corrections_keep_words_not_tokens(spark, monkeypatch):
     want = {(r.word, r.column, tuple(r.suggestions)) for r in texts.misspellings(docs, d, "id", "text", suggest=True).groupBy("word").agg(F.min("column").alias("column"), F.first("suggestions").alias("suggestions")).collect()}
     monkeypatch.setattr(texts, "kept", lambda df: (sizes.append(df.count()), kept(df))[1])
     assert {(r.word, r.column, tuple(r.suggestions)) for r in texts.distinct_misspellings(docs, d, "id", "text").collect()} == want and want
+    fixed = texts.correct(docs, d, "id", "text").collect()
+    assert {r.changes for r in fixed} == {60} and all("onne" not in r.text.replace("http://onne/", "") for r in fixed)
     assert max(sizes) <= 5
