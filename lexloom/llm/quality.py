@@ -1,15 +1,16 @@
 """Quality classifier: vectors of hashed words and character n-grams, averaged per document, under a softmax.
 
 Words and byte 3- and 4-grams share one hashed table of vectors; a word that repeats the one before it adds one more
-feature, the same for all words. The model is fitted on the driver by stochastic gradient descent in numpy, over a
-sample of at most `max_rows` labelled rows whose features executors have already counted. Because the output is linear
-in the averaged vectors, scoring needs one number per bucket: each task sums fixed-point numbers over a whole text, so
-equal texts have equal scores wherever they are scored.
+feature, the same for all words. The model is fitted by stochastic gradient descent in numpy, in one task over a sample
+of at most `max_rows` labelled rows; the driver gets the model's table alone, never the rows or their features. Because
+the output is linear in the averaged vectors, scoring needs one number per bucket: each task sums fixed-point numbers
+over a whole text, so equal texts have equal scores wherever they are scored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1, epochs: int = EPOCHS, rate: float = RATE) -> Model:
+def fit(rows: Iterable[tuple[np.ndarray, np.ndarray, int]], seed: int = 1, epochs: int = EPOCHS, rate: float = RATE) -> Model:
     """Stochastic gradient descent over (buckets, counts, label) rows; the prior alone where there are no rows."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (REPEAT + 1, DIMENSIONS))
@@ -120,14 +121,21 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1, epochs: i
     return Model(np.rint(vectors @ (out[1] - out[0]) * _SCALE).astype(np.int64), float(bias[1] - bias[0]))
 
 
-def _count(batches):
+def _counted(batches):
+    """The (buckets, counts, label) rows of batches of texts and labels."""
     for batch in batches:
         x, at = utf8(batch.column(0))
-        found = [features(x[a:b]) for a, b in zip(at, at[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i.astype("<u4").tobytes() for i, _ in found], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in found], pa.binary()), batch.column(1)],
-            names=["buckets", "counts", "label"],
-        )
+        for a, b, y in zip(at, at[1:], batch.column(1).to_pylist()):
+            i, c = features(x[a:b])
+            yield i.astype("<u4"), c.astype("<u4"), int(y > 0)
+
+
+def _fitted(seed: int):
+    def run(batches):
+        m = fit(_counted(batches), seed)
+        yield pa.RecordBatch.from_arrays([pa.array([m.table.astype("<i8").tobytes()], pa.binary()), pa.array([m.bias], pa.float64())], names=["table", "bias"])
+
+    return run
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "doc_id", max_rows: int = MAX_ROWS, seed: int = 1) -> Model:
@@ -137,8 +145,8 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
         F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(order_col).alias("h")
     )
     part = part.orderBy("h", "text", "label").limit(max_rows)
-    rows = part.select("text", "label").mapInArrow(_count, "buckets binary, counts binary, label int").toArrow()  # at most max_rows
-    return fit([(np.frombuffer(i, "<u4"), np.frombuffer(c, "<u4"), int(y > 0)) for i, c, y in zip(*(c.to_pylist() for c in rows.columns))], seed)
+    one = part.coalesce(1).select("text", "label").mapInArrow(_fitted(seed), "table binary, bias double").collect()  # one row, or none of no rows
+    return Model(np.frombuffer(one[0]["table"], "<i8"), one[0]["bias"]) if one else fit([], seed)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:

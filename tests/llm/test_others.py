@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -193,6 +194,21 @@ def test_quality_frames(spark, monkeypatch):
     assert sorted(map(tuple, quality.accepted(wide, m, threshold=0.0).collect())) == sorted(map(tuple, wide.collect())) and quality.accepted(wide, m, threshold=1.1).count() == 0
 
 
+def test_quality_is_fitted_by_a_task_on_the_same_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"word{i % 7} and word{i % 3} " * (i % 5), i % 2) for i in range(60)], "doc_id long, text string, label int").repartition(3)
+    lowest = df.withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(40).collect()
+    fit, driver = quality.fit, os.getpid()
+    want = fit([(*quality.features(np.frombuffer(r.text.encode(), np.uint8)), r.label) for r in lowest])
+
+    def away(rows, seed):
+        assert os.getpid() != driver, "the driver fits the model, so the sample's features come to it"
+        return fit(rows, seed)
+
+    monkeypatch.setattr(quality, "fit", away)
+    got = quality.train(df, max_rows=40)
+    assert (got.table == want.table).all() and got.bias == want.bias
+
+
 def naive_score(model, text):
     """Words, repeated words and byte n-grams one by one, averaged, then the two-class softmax."""
     data = text.encode()
